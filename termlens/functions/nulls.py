@@ -45,3 +45,17 @@ def safe_scale(sd, eps: float) -> Column:
     """A spread below eps (or null) divides by 1."""
     s = col(sd)
     return F.when(s.isNull() | (s < eps), F.lit(1.0)).otherwise(s)
+
+
+def np_round(c, places: int = 4) -> Column:
+    """Round like pandas / NumPy `round` (multiply, round half to even on the binary value, divide).
+    Spark `round` rounds the decimal text half-up and differs on about 5 % of 4-place values."""
+    p = float(10 ** places)
+    return F.rint(col(c).cast("double") * p) / p
+
+
+def mean_of_rounded(c, places: int = 4) -> Column:
+    """Mean of values already rounded to `places`, rounded again to `places`, computed on the integer-scaled
+    values so the sum is exact and the result does not depend on partitioning or summation order."""
+    p = float(10 ** places)
+    return F.rint(F.sum(F.rint(col(c).cast("double") * p)) / F.count(col(c))) / p
