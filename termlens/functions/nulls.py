@@ -59,3 +59,9 @@ def mean_of_rounded(c, places: int = 4) -> Column:
     values so the sum is exact and the result does not depend on partitioning or summation order."""
     p = float(10 ** places)
     return F.rint(F.sum(F.rint(col(c).cast("double") * p)) / F.count(col(c))) / p
+
+
+def canonical(c, places: int = 9) -> Column:
+    """Value used for equality (distinct counts, rank ties): doubles rounded to 1e-9, so that sums computed in a
+    different order (another partitioning, another engine) do not split a tie by one ulp."""
+    return np_round(c, places)

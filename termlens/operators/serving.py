@@ -176,5 +176,5 @@ def short_period(c) -> Column:
 
 
 def safe_rel_change(a, b, eps: float = 1e-12) -> Column:
-    """(b - a) / |a|; |a| <= eps -> 1."""
-    return F.when(F.abs(_c(a)) <= eps, F.lit(1.0)).otherwise((_c(b) - _c(a)) / F.abs(_c(a)))
+    """(b - a) / |a|, dividing by 1 when |a| <= eps."""
+    return (_c(b) - _c(a)) / F.when(F.abs(_c(a)) > eps, F.abs(_c(a))).otherwise(F.lit(1.0))

@@ -449,7 +449,7 @@ def q_short_period(spark, sf_dir):
 
 @query("safe_rel_change", """
 SELECT entity_id, period_key,
-       CASE WHEN abs(kccj_mean) <= 1e-12 THEN 1.0 ELSE (kccj_median - kccj_mean) / abs(kccj_mean) END AS rel_change
+       (kccj_median - kccj_mean) / CASE WHEN abs(kccj_mean) > 1e-12 THEN abs(kccj_mean) ELSE 1.0 END AS rel_change
 FROM mart""")
 def q_safe_rel_change(spark, sf_dir):
     from termlens.operators.marts import build_feature_mart

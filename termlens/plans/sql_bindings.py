@@ -238,6 +238,9 @@ CTES["mart"] = f"""
   LEFT JOIN blk_cet USING (XH)
   LEFT JOIN blk_comp_entity USING (XH)"""
 
+MART_BIGINT = """grade_course_cnt yd_cnt yd_type_nunique hw_submit_cnt att_event_cnt zc_records sch_cnt sch_cnt_term
+comp_cnt comp_cnt_term""".split()
+
 _IDENT = re.compile(r"\b([a-z_][a-z0-9_]*)\b")
 
 
@@ -261,4 +264,8 @@ def with_ctes(final_sql: str, *names: str) -> str:
         visit(n)
     if not order:
         return final_sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]}\n)" for n in order) + "\n" + final_sql
+    head = ",\n".join(f"{n} AS ({CTES[n]}\n)" for n in order)
+    body = final_sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return "WITH " + head + ",\n" + body[5:]
+    return "WITH " + head + "\n" + final_sql
