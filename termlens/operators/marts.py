@@ -112,18 +112,19 @@ def assessment_features(zc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Period means when usable (> 5 % non-null) and entity count / best (min) / mean rank (Q16).
     Unusable blocks keep their columns as typed nulls so the mart schema is fixed."""
     z = _assessment_rows(zc)
-    st = F.broadcast(_assessment_stats(z))
-    term = (z.crossJoin(st).where(F.col("zf_ok") | F.col("zypm_ok"))
+    st = _assessment_stats(z).first()          # one stats row decides the branch (a fit step)
+    zf_ok, zypm_ok, bjpm_any = bool(st["zf_ok"]), bool(st["zypm_ok"]), bool(st["bjpm_any"])
+    term = (z.where(F.lit(zf_ok or zypm_ok))
             .groupBy(*KEYS).agg(F.avg("ZF").alias("zc_zf_mean"), F.avg("BJPM").alias("zc_bjpm_mean_term"),
                                 F.avg("ZYPM").alias("zc_zypm_mean_term")))
+    null = F.lit(None).cast("double")
     ent = (z.groupBy("XH").agg(F.count(F.lit(1)).alias("zc_records"), F.min("BJPM").alias("b_min"),
                                F.avg("BJPM").alias("b_avg"), F.min("ZYPM").alias("z_min"), F.avg("ZYPM").alias("z_avg"))
-           .crossJoin(st)
            .select("XH", "zc_records",
-                   F.when(F.col("bjpm_any"), F.col("b_min")).alias("zc_bjpm_best"),
-                   F.when(F.col("bjpm_any"), F.col("b_avg")).alias("zc_bjpm_mean"),
-                   F.when(F.col("zypm_ok"), F.col("z_min")).alias("zc_zypm_best"),
-                   F.when(F.col("zypm_ok"), F.col("z_avg")).alias("zc_zypm_mean")))
+                   (F.col("b_min") if bjpm_any else null).alias("zc_bjpm_best"),
+                   (F.col("b_avg") if bjpm_any else null).alias("zc_bjpm_mean"),
+                   (F.col("z_min") if zypm_ok else null).alias("zc_zypm_best"),
+                   (F.col("z_avg") if zypm_ok else null).alias("zc_zypm_mean")))
     return term, ent
 
 

@@ -47,8 +47,9 @@ def most_frequent_class(t: Tables) -> DataFrame:
                        (-F.col("b.neg_n")).alias("class_votes"))
 
 
-def scored_mart(mart: DataFrame) -> DataFrame:
-    """Mart + six dimension scores + fixed-rule soft labels in one projection (no self-join)."""
+def scored_mart(mart: DataFrame, carry: list | None = None) -> DataFrame:
+    """Mart + six dimension scores + fixed-rule soft labels in one projection (no self-join); `carry` adds more
+    mart columns (names or Columns) to the same projection."""
     inputs = S.score_inputs()
     params = S.zscore_fit(mart, inputs)
     z = {c: S.zscore_expr(c, *params[c]) for c in inputs}
@@ -58,7 +59,8 @@ def scored_mart(mart: DataFrame) -> DataFrame:
         for m, w in comps:
             e = F.lit(float(w)) * z[m] if e is None else e + F.lit(float(w)) * z[m]
         dims.append(e.alias(dim))
-    return S.fixture_soft_labels(mart, extra=[*dims, *C.KEY_METRICS])
+    more = [c for c in (carry or []) if not (isinstance(c, str) and c in C.KEY_METRICS)]
+    return S.fixture_soft_labels(mart, extra=[*dims, *C.KEY_METRICS, *more])
 
 
 def soft_labels(t: Tables, materialize: bool = True) -> DataFrame:

@@ -137,12 +137,12 @@ def fixture_soft_labels(mart: DataFrame, k: int = C.N_MODES, extra: list | None
     for x in w[1:]:
         tot = tot + x
     probs = [(w[i] / tot).alias(f"p_mode_{i}") for i in range(k)]
-    base = mart.select(*KEYS, "grade_course_cnt", *probs, *extra)
+    base = mart.select(*KEYS, F.col("grade_course_cnt").alias("_gcc"), *probs, *extra)
     pc = [f"p_mode_{i}" for i in range(k)]
-    carried = [c for c in base.columns if c not in KEYS + pc + ["grade_course_cnt"]]
+    carried = [c for c in base.columns if c not in KEYS + pc + ["_gcc"]]
     p = p_array(pc)
     lab = base.select(*KEYS, *pc, hard_label(p).alias("mode_id"), *uncertainty_cols(p),
-                      (F.col("grade_course_cnt") % 4).cast("int").alias("_local"), *carried)
+                      (F.col("_gcc") % 4).cast("int").alias("_local"), *carried)
     return lab.select(*KEYS, F.lit(k).alias("mode_k"), "mode_id", *pc,
                       "mode_pmax", "mode_margin", "mode_entropy",
                       subtype_id("mode_id", "_local").alias("subtype_id"),

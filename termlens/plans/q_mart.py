@@ -97,8 +97,8 @@ FROM (SELECT XH, CASE WHEN trim(ZXJXJHH) = '' OR lower(trim(ZXJXJHH)) = 'nan' TH
       FROM src_grades)""")
 def q_require_keys(spark, sf_dir):
     g = B.grades(Tables(spark, sf_dir)).select("XH", K.term_from_code("ZXJXJHH").alias("TERM_KEY"))
-    kept = g.dropna(subset=["XH", "TERM_KEY"]).agg(F.count(F.lit(1)).alias("n_kept"))
-    return g.agg(F.count(F.lit(1)).alias("n_in")).crossJoin(kept)
+    return g.agg(F.count(F.lit(1)).alias("n_in"),
+                 F.count_if(F.col("XH").isNotNull() & F.col("TERM_KEY").isNotNull()).alias("n_kept"))
 
 
 # ---- mart blocks ----

@@ -1 +1,395 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: clustering quality on given labels (M1-M8), explanations (E1-E3, P24), scenario metrics
+(A34-A35) with SQL oracles, and model fits (C1-C9, E5) checked by invariants (rows-only at the driver)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termlens import config as C
+from termlens.operators import cluster as CL
+from termlens.operators import cluster_metrics as CM
+from termlens.operators import prep as PP
+from termlens.operators.marts import MART_COLUMNS
+from termlens.operators.profiles import soft_labels
+from termlens.plans import sql_exprs as X
+from termlens.plans.registry import query
+from termlens.plans.sql_bindings import CTES
+from termlens.sources.tables import Tables
+
+K = C.N_MODES
+P_COLS = X.P_COLS
+Q_COLS = [f"q_mode_{i}" for i in range(K)]
+KEYS = ["entity_id", "period_key"]
+FEATS = MART_COLUMNS
+
+
+def _emb(spark, sf_dir):
+    e = Tables(spark, sf_dir).embeddings
+    return e.select("vec_id", "label", (F.col("vec_id") % 10).cast("int").alias("label2"),
+                    F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+def _scored(spark, sf_dir):
+    return soft_labels(Tables(spark, sf_dir))
+
+
+def _with_q(s):
+    """Second fixed posterior over the same rows (w'_i = 1 + ((cnt*(i+2) + id*(i+1)) mod 7))."""
+    cnt, eid = F.col("_cnt"), F.col("entity_id").cast("long")
+    w = [(F.lit(1) + ((cnt * (i + 2) + eid * (i + 1)) % 7)).cast("double") for i in range(K)]
+    tot = w[0]
+    for v in w[1:]:
+        tot = tot + v
+    return s.select("*", *[(w[i] / tot).alias(Q_COLS[i]) for i in range(K)])
+
+
+def _scored_pq(spark, sf_dir):
+    from termlens.operators.marts import build_feature_mart
+    from termlens.session import cut_lineage
+    t = Tables(spark, sf_dir)
+    mart = cut_lineage(build_feature_mart(t))
+    from termlens.operators.profiles import scored_mart
+    s = scored_mart(mart, carry=[F.col("grade_course_cnt").alias("_cnt")])
+    return _with_q(s)
+
+
+_QW = [f"CAST(1 + ((CAST(m.grade_course_cnt AS BIGINT) * {i + 2} + CAST(s.entity_id AS BIGINT) * {i + 1}) % 7) AS DOUBLE)"
+       for i in range(K)]
+CTES["scored_pq"] = f"""
+  SELECT s.*, {', '.join(f'{_QW[i]} / ({" + ".join(_QW)}) AS q_mode_{i}' for i in range(K))}
+  FROM scored s JOIN mart m USING (entity_id, period_key)"""
+
+CTES["emb"] = """
+  SELECT vec_id, label, CAST(vec_id % 10 AS INTEGER) AS label2, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"""
+CTES["emb_cent"] = """
+  SELECT label, list(v ORDER BY i) AS c, any_value(n) AS n FROM (
+    SELECT label, i, avg(v) AS v, count(*) AS n FROM (
+      SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM emb) GROUP BY label, i) GROUP BY label"""
+
+
+# ---- M1-M8 ----
+
+@query("silhouette", """
+WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb,
+                  list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d2
+           FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
+per AS (SELECT vec_id, la, lb, avg(d2) AS md FROM d GROUP BY vec_id, la, lb),
+ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM per GROUP BY vec_id)
+SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette_sq FROM ab""")
+def q_silhouette(spark, sf_dir):
+    return CM.silhouette_sq(_emb(spark, sf_dir), "x", "label")
+
+
+@query("calinski_harabasz", """
+WITH g AS (SELECT list(v ORDER BY i) AS c FROM (SELECT i, avg(v) AS v FROM (
+             SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i FROM emb) GROUP BY i)),
+B AS (SELECT sum(n * list_sum(list_transform(list_zip(emb_cent.c, g.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS b,
+             count(*) AS k FROM emb_cent, g),
+W AS (SELECT sum(list_sum(list_transform(list_zip(e.x, c.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS w, count(*) AS n
+      FROM emb e JOIN emb_cent c USING (label))
+SELECT (b / (k - 1)) / (w / (n - k)) AS calinski_harabasz FROM B, W""")
+def q_calinski_harabasz(spark, sf_dir):
+    return CM.calinski_harabasz(_emb(spark, sf_dir), "x", "label")
+
+
+@query("davies_bouldin", """
+WITH s AS (SELECT label, avg(sqrt(list_sum(list_transform(list_zip(e.x, c.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))) AS s
+           FROM emb e JOIN emb_cent c USING (label) GROUP BY label),
+pr AS (SELECT a.label AS i, max((sa.s + sb.s) / sqrt(list_sum(list_transform(list_zip(a.c, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))) AS r
+       FROM emb_cent a JOIN emb_cent b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label
+       GROUP BY a.label)
+SELECT avg(r) AS davies_bouldin FROM pr""")
+def q_davies_bouldin(spark, sf_dir):
+    return CM.davies_bouldin(_emb(spark, sf_dir), "x", "label")
+
+
+_CT = "(SELECT label AS a, label2 AS b, count(*) AS n FROM emb GROUP BY 1, 2)"
+
+
+@query("adjusted_rand", f"""
+WITH ct AS {_CT},
+s AS (SELECT sum(n * (n - 1) / 2.0) AS sij, sum(n) AS n FROM ct),
+sa AS (SELECT sum(m * (m - 1) / 2.0) AS sa FROM (SELECT sum(n) AS m FROM ct GROUP BY a)),
+sb AS (SELECT sum(m * (m - 1) / 2.0) AS sb FROM (SELECT sum(n) AS m FROM ct GROUP BY b)),
+e AS (SELECT sij, sa * sb / (n * (n - 1) / 2.0) AS ex, (sa + sb) / 2.0 AS mx FROM s, sa, sb)
+SELECT CAST(CASE WHEN mx = ex THEN 1.0 ELSE (sij - ex) / (mx - ex) END AS DOUBLE) AS ari FROM e""")
+def q_adjusted_rand(spark, sf_dir):
+    return CM.adjusted_rand(_emb(spark, sf_dir), "label", "label2")
+
+
+@query("normalized_mi", f"""
+WITH ct AS {_CT}, tot AS (SELECT sum(n) AS ntot FROM ct),
+ra AS (SELECT a, sum(n) AS na FROM ct GROUP BY a), rb AS (SELECT b, sum(n) AS nb FROM ct GROUP BY b),
+mi AS (SELECT sum(n / ntot * ln(ntot * n / (na * nb))) AS mi FROM ct JOIN ra USING (a) JOIN rb USING (b), tot),
+ha AS (SELECT -sum(na / ntot * ln(na / ntot)) AS ha FROM ra, tot), hb AS (SELECT -sum(nb / ntot * ln(nb / ntot)) AS hb FROM rb, tot)
+SELECT CAST(CASE WHEN (ha + hb) / 2 <= 0 THEN 1.0 ELSE mi / ((ha + hb) / 2) END AS DOUBLE) AS nmi FROM mi, ha, hb""")
+def q_normalized_mi(spark, sf_dir):
+    return CM.normalized_mi(_emb(spark, sf_dir), "label", "label2")
+
+
+@query("prob_l1", "SELECT avg(" + " + ".join(f"abs(p_mode_{i} - q_mode_{i})" for i in range(K)) + f") / {K} AS prob_mean_l1 FROM scored_pq")
+def q_prob_l1(spark, sf_dir):
+    return CM.prob_l1(_scored_pq(spark, sf_dir), P_COLS, Q_COLS)
+
+
+def _jsd_sql():
+    t = []
+    for i in range(K):
+        p = f"least(greatest(p_mode_{i}, 1e-12), 1.0)"
+        q = f"least(greatest(q_mode_{i}, 1e-12), 1.0)"
+        m = f"(({p} + {q}) * 0.5)"
+        t.append(f"0.5 * ({p} * ln({p} / {m}) + {q} * ln({q} / {m}))")
+    return " + ".join(t)
+
+
+@query("prob_jsd", f"SELECT avg({_jsd_sql()}) AS prob_mean_jsd FROM scored_pq")
+def q_prob_jsd(spark, sf_dir):
+    return CM.prob_jsd(_scored_pq(spark, sf_dir), P_COLS, Q_COLS)
+
+
+@query("pmax_quantiles", """
+SELECT avg(mode_pmax) AS pmax_mean, quantile_cont(mode_pmax, 0.1) AS pmax_p10, quantile_cont(mode_pmax, 0.5) AS pmax_p50,
+       quantile_cont(mode_pmax, 0.9) AS pmax_p90 FROM scored""")
+def q_pmax_quantiles(spark, sf_dir):
+    return CM.pmax_quantiles(_scored(spark, sf_dir))
+
+
+# ---- E1-E3, P24 ----
+
+def _hint_sql(f: str, z: str) -> str:
+    hi = " ".join(f"WHEN '{k}' THEN '{h}'" for k, (h, _) in C.DIR_HINTS.items())
+    lo = " ".join(f"WHEN '{k}' THEN '{l}'" for k, (_, l) in C.DIR_HINTS.items())
+    return f"CASE WHEN {z} > 0 THEN (CASE lower({f}) {hi} END) ELSE (CASE lower({f}) {lo} END) END"
+
+
+def _top_sql(label: str, parent: str | None) -> str:
+    pk = parent if parent else "0"
+    dbl = ", ".join(f"CAST(mart.{c} AS DOUBLE) AS {c}" for c in FEATS)
+    pos = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(FEATS)) + " END"
+    return f"""
+WITH base AS (SELECT {pk} AS _p, scored.{label} AS cluster_id, {dbl} FROM scored JOIN mart USING (entity_id, period_key)),
+long AS (SELECT * FROM base UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(FEATS)}))),
+cm AS (SELECT _p, cluster_id, feature, avg(value) AS mean_cluster FROM long GROUP BY ALL),
+cs AS (SELECT _p, cluster_id, count(*) AS cluster_size FROM base GROUP BY ALL),
+om AS (SELECT _p, feature, avg(value) AS mean_overall, stddev_pop(value) AS sd FROM long GROUP BY ALL),
+tot AS (SELECT _p, count(*) AS tot FROM base GROUP BY _p),
+z AS (SELECT cm._p, cm.cluster_id, cs.cluster_size, cs.cluster_size / tot.tot AS cluster_pct, cm.feature, {pos} AS pos,
+             mean_cluster, mean_overall,
+             CASE WHEN sd IS NULL OR isnan(sd) OR sd <= 1e-12 THEN 1.0 ELSE sd END AS std_overall
+      FROM cm JOIN om USING (_p, feature) JOIN cs USING (_p, cluster_id) JOIN tot USING (_p)),
+z2 AS (SELECT *, coalesce(CASE WHEN isnan((mean_cluster - mean_overall) / std_overall) THEN NULL
+                               ELSE (mean_cluster - mean_overall) / std_overall END, 0.0) AS z FROM z)
+SELECT {f'_p AS {parent}, ' if parent else ''}cluster_id, cluster_size, cluster_pct, feature, z, abs(z) AS abs_z,
+       CASE WHEN z > 0 THEN '高' ELSE '低' END AS direction_vs_overall, mean_cluster, mean_overall, std_overall,
+       {_hint_sql('feature', 'z')} AS interpretation_hint, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY _p, cluster_id ORDER BY round_even(abs(z), 9) DESC, pos) AS rank FROM z2) WHERE rank <= 10"""
+
+
+def _top(spark, sf_dir, label, parent=None):
+    from termlens.operators.marts import build_feature_mart
+    from termlens.session import cut_lineage
+    t = Tables(spark, sf_dir)
+    mart = cut_lineage(build_feature_mart(t))
+    from termlens.operators.profiles import scored_mart
+    df = scored_mart(mart, carry=FEATS)
+    return CM.cluster_top_features(df, label, FEATS, parent=parent)
+
+
+@query("cluster_top_features", _top_sql("mode_id", None))
+def q_cluster_top_features(spark, sf_dir):
+    return _top(spark, sf_dir, "mode_id")
+
+
+@query("subtype_top_features", _top_sql("subtype_id", "mode_id"))
+def q_subtype_top_features(spark, sf_dir):
+    return _top(spark, sf_dir, "subtype_id", "mode_id")
+
+
+@query("cluster_name_draft", f"""
+SELECT cluster_id, cluster_size, cluster_pct,
+       CASE WHEN len(h) = 0 THEN '{CM.MIXED_NAME}' ELSE array_to_string(list_slice(h, 1, 3), '、') END AS name_draft
+FROM (SELECT cluster_id, cluster_size, cluster_pct,
+             list_distinct_ordered(interpretation_hint) AS h FROM (
+        SELECT * FROM ({_top_sql('mode_id', None)}) ORDER BY cluster_id, rank) GROUP BY ALL)""".replace(
+    "list_distinct_ordered(interpretation_hint)",
+    "list_filter(list_transform(list_sort(list_filter(list(struct_pack(r := rank, h := interpretation_hint)), "
+    "lambda e: e.h IS NOT NULL)), lambda e: e.h), lambda x, i: i = 1 OR NOT list_contains(list_slice(list_transform("
+    "list_sort(list_filter(list(struct_pack(r := rank, h := interpretation_hint)), lambda e: e.h IS NOT NULL)), "
+    "lambda e: e.h), 1, i - 1), x))"))
+def q_cluster_name_draft(spark, sf_dir):
+    return CM.cluster_name_draft(_top(spark, sf_dir, "mode_id"))
+
+
+@query("direction_label", f"""
+SELECT DISTINCT feature, direction_vs_overall, interpretation_hint FROM ({_top_sql('mode_id', None)})""")
+def q_direction_label(spark, sf_dir):
+    return _top(spark, sf_dir, "mode_id").select("feature", "direction_vs_overall", "interpretation_hint").distinct()
+
+
+# ---- A34 / A35: scenario metrics on two fixed posteriors ----
+
+def _scenario_rows(s, pc, tag):
+    p = F.array(*[F.col(c) for c in pc])
+    from termlens.operators import scores as S
+    lab = s.select(S.hard_label(p).alias("l"), S.entropy(p).alias("e"), S.pmax(p).alias("pm"),
+                   (S.pmax(p) - S.psecond(p)).alias("mg"))
+    share = lab.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    tot = lab.count()
+    sh = share.agg(F.min("n").alias("mn"), F.max("n").alias("mx")).first()
+    r = lab.agg(F.avg("e").alias("entropy_mean"), F.avg("pm").alias("pmax_mean"), F.avg("mg").alias("margin_mean")).first()
+    return [(tag, "entropy_mean", r["entropy_mean"]), (tag, "pmax_mean", r["pmax_mean"]), (tag, "margin_mean", r["margin_mean"]),
+            (tag, "min_mode_share", sh["mn"] / tot), (tag, "max_mode_share", sh["mx"] / tot)]
+
+
+def _scen_sql(pc, tag):
+    arr = "[" + ", ".join(pc) + "]"
+    return f"""SELECT '{tag}' AS scenario, metric, value FROM (
+  SELECT avg(e) AS entropy_mean, avg(pm) AS pmax_mean, avg(mg) AS margin_mean,
+         (SELECT min(c) FROM (SELECT count(*) AS c FROM lab_{tag} GROUP BY l)) / count(*) AS min_mode_share,
+         (SELECT max(c) FROM (SELECT count(*) AS c FROM lab_{tag} GROUP BY l)) / count(*) AS max_mode_share FROM lab_{tag})
+  UNPIVOT (value FOR metric IN (entropy_mean, pmax_mean, margin_mean, min_mode_share, max_mode_share))"""
+
+
+for _tag, _pc in (("baseline", P_COLS), ("alt", Q_COLS)):
+    _arr = "[" + ", ".join(_pc) + "]"
+    CTES[f"lab_{_tag}"] = f"""
+  SELECT list_position({_arr}, list_max({_arr})) - 1 AS l,
+         -list_sum(list_transform({_arr}, lambda x: least(greatest(x, 1e-12), 1.0) * ln(least(greatest(x, 1e-12), 1.0)))) AS e,
+         list_max({_arr}) AS pm, list_max({_arr}) - list_sort({_arr}, 'DESC')[2] AS mg FROM scored_pq"""
+
+_SCEN_SQL = _scen_sql(P_COLS, "baseline") + " UNION ALL " + _scen_sql(Q_COLS, "alt")
+# Whether a larger value of a scenario metric is better.
+HIGHER_BETTER = {"entropy_mean": False, "pmax_mean": True, "margin_mean": True, "min_mode_share": True,
+                 "max_mode_share": False}
+
+
+@query("scenario_metrics", _SCEN_SQL)
+def q_scenario_metrics(spark, sf_dir):
+    s = _scored_pq(spark, sf_dir).cache()
+    rows = _scenario_rows(s, P_COLS, "baseline") + _scenario_rows(s, Q_COLS, "alt")
+    s.unpersist()
+    return spark.createDataFrame(rows, "scenario string, metric string, value double")
+
+
+@query("scenario_compare", f"""
+SELECT metric, baseline, alt, alt - baseline AS delta,
+       CASE {' '.join(f"WHEN metric = '{k}' THEN {'true' if v else 'false'}" for k, v in HIGHER_BETTER.items())} END AS higher_is_better,
+       CASE WHEN ({' OR '.join(f"metric = '{k}'" for k, v in HIGHER_BETTER.items() if v)}) THEN alt - baseline > 0
+            ELSE alt - baseline < 0 END AS improved
+FROM (PIVOT ({_SCEN_SQL}) ON scenario USING first(value) GROUP BY metric)""")
+def q_scenario_compare(spark, sf_dir):
+    long = q_scenario_metrics(spark, sf_dir)
+    wide = long.groupBy("metric").pivot("scenario", ["baseline", "alt"]).agg(F.first("value"))
+    hb = F.create_map(*[e for k, v in HIGHER_BETTER.items() for e in (F.lit(k), F.lit(v))])
+    d = F.col("alt") - F.col("baseline")
+    return wide.select("metric", "baseline", "alt", d.alias("delta"), F.element_at(hb, F.col("metric")).alias("higher_is_better"),
+                       F.when(F.element_at(hb, F.col("metric")), d > 0).otherwise(d < 0).alias("improved"))
+
+
+# ---- fits (rows-only; invariants in tests) ----
+
+def _dims(spark, sf_dir):
+    return _scored(spark, sf_dir).select(*KEYS, *C.DIM_COLS).cache()
+
+
+def _screen_features(spark, sf_dir):
+    """Screening input: features with <= 60 % missing, median-filled, z-scaled (run_eda screening step)."""
+    from termlens.operators import quality as QL
+    from termlens.operators.marts import build_feature_mart
+    from termlens.session import cut_lineage
+    mart = cut_lineage(build_feature_mart(Tables(spark, sf_dir)))
+    keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_audit(mart, FEATS)).collect()]
+    return PP.zscore_matrix(mart, KEYS, keep), keep
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(spark, sf_dir):
+    z, keep = _screen_features(spark, sf_dir)
+    return CL.kmeans_sweep(z, keep, range(4, 9), n_init=2)
+
+
+@query("kmeans_stability")
+def q_kmeans_stability(spark, sf_dir):
+    z, keep = _screen_features(spark, sf_dir)
+    return CL.kmeans_stability(z, keep, range(4, 7))
+
+
+@query("gmm_select_bic")
+def q_gmm_select_bic(spark, sf_dir):
+    return CL.gmm_select_bic(_dims(spark, sf_dir), C.DIM_COLS, range(4, 9))[0]
+
+
+@query("gmm_score")
+def q_gmm_score(spark, sf_dir):
+    d = _dims(spark, sf_dir)
+    m = CL.gmm_fit(CL.assemble(d, C.DIM_COLS), K, 42)
+    return CL.soft_assignment(m, d, KEYS, C.DIM_COLS).select(*KEYS, *[f"p_cluster_{i}" for i in range(K)])
+
+
+@query("soft_assignment_table")
+def q_soft_assignment_table(spark, sf_dir):
+    d = _dims(spark, sf_dir)
+    m = CL.gmm_fit(CL.assemble(d, C.DIM_COLS), K, 42)
+    return CL.soft_assignment(m, d, KEYS, C.DIM_COLS)
+
+
+@query("two_layer_cluster")
+def q_two_layer_cluster(spark, sf_dir):
+    from termlens.operators.marts import build_feature_mart
+    from termlens.session import cut_lineage
+    t = Tables(spark, sf_dir)
+    mart = cut_lineage(build_feature_mart(t))
+    from termlens.operators.profiles import scored_mart
+    dims = scored_mart(mart).select(*KEYS, *C.DIM_COLS)
+    raw = ["kccj_mean", "kccj_fail_rate", "jdcj_mean", "by1_mean", "fit3_zf_mean", "fit3_fhl_mean"]
+    filled = PP.median_impute(mart, KEYS, raw, flags=False)
+    df = dims.join(filled, KEYS).cache()
+    return CL.two_layer_cluster(df, KEYS, C.DIM_COLS, raw, k1=K, k2s=range(2, 5))
+
+
+@query("align_components")
+def q_align_components(spark, sf_dir):
+    v = CL.assemble(_dims(spark, sf_dir), C.DIM_COLS).select("features").cache()
+    a, b = CL.gmm_fit(v, K, 11), CL.gmm_fit(v, K, 22)
+    ma = [list(map(float, g.mean)) for g in a.gaussians]
+    mb = [list(map(float, g.mean)) for g in b.gaussians]
+    perm = CL.align_components(ma, mb)
+    import math
+    return spark.createDataFrame([(i, perm[i], math.dist(ma[i], mb[perm[i]])) for i in range(K)],
+                                 "component_a int, component_b int, mean_distance double")
+
+
+def _k_eval(spark, sf_dir):
+    return CL.k_stability_eval(_dims(spark, sf_dir), C.DIM_COLS, ks=range(4, 9), seeds=(11, 22, 33))
+
+
+@query("k_stability_eval")
+def q_k_stability_eval(spark, sf_dir):
+    return _k_eval(spark, sf_dir)[1]
+
+
+@query("choose_k")
+def q_choose_k(spark, sf_dir):
+    return CL.choose_k(_k_eval(spark, sf_dir)[1])
+
+
+@query("impute_ab_test")
+def q_impute_ab_test(spark, sf_dir):
+    """E5: the same mixture fit on median-filled vs tier-imputed raw features, compared by BIC and by ARI
+    between the two labelings of the same rows."""
+    from termlens.operators.marts import build_feature_mart
+    from termlens.session import cut_lineage
+    mart = cut_lineage(build_feature_mart(Tables(spark, sf_dir)))
+    raw = ["kccj_mean", "kccj_fail_rate", "jdcj_mean", "att_present_rate", "hw_submit_cnt", "online_bfb"]
+    base = PP.zscore_matrix(mart, KEYS, raw)
+    imp = PP.zscore_matrix(PP.tiered_impute(mart, "entity_id", "period_key", raw).data, KEYS, raw)
+    rows = []
+    labs = {}
+    for tag, df in (("baseline", base), ("imputed", imp)):
+        t, best, k = CL.gmm_select_bic(df, raw, range(4, 7))
+        r = t.orderBy("bic").first()
+        rows.append((tag, k, r["bic"], r["log_likelihood"]))
+        labs[tag] = CL.soft_assignment(best, df, KEYS, raw).select(*KEYS, F.col("cluster_map").alias(f"l_{tag}"))
+    ari = CM.adjusted_rand(labs["baseline"].join(labs["imputed"], KEYS), "l_baseline", "l_imputed").first()[0]
+    return spark.createDataFrame([(a, b, c, d, ari) for a, b, c, d in rows],
+                                 "scenario string, best_k int, bic double, log_likelihood double, ari_between double")
