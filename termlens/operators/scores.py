@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlens import config as C
-from termlens.functions.nulls import safe_scale
+from termlens.functions.nulls import np_round
 
 KEYS = ["entity_id", "period_key"]
 
@@ -165,10 +165,10 @@ def score_level(s) -> Column:
 
 def _fmt(v: Column, kind: str, suffix: str) -> Column:
     if kind == "pct1":
-        return F.format_string("%.1f%%", F.bround(v * 100, 1))
+        return F.format_string("%.1f%%", np_round(v * 100, 1))
     if kind == "f1":
-        return F.concat(F.format_string("%.1f", F.bround(v, 1)), F.lit(suffix))
-    return F.concat(F.format_string("%.0f", F.bround(v, 0)), F.lit(suffix))
+        return F.concat(F.format_string("%.1f", np_round(v, 1)), F.lit(suffix))
+    return F.concat(F.format_string("%.0f", np_round(v, 0)), F.lit(suffix))
 
 
 def _detail(dim: str) -> Column:

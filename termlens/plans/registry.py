@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from termlens.plans import q_mart, q_model, q_prep, q_serving, q_text  # noqa: F401
+    from termlens.plans import q_mart, q_model, q_prep, q_serving, q_sources, q_text  # noqa: F401
