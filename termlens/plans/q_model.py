@@ -393,3 +393,64 @@ def q_impute_ab_test(spark, sf_dir):
     ari = CM.adjusted_rand(labs["baseline"].join(labs["imputed"], KEYS), "l_baseline", "l_imputed").first()[0]
     return spark.createDataFrame([(a, b, c, d, ari) for a, b, c, d in rows],
                                  "scenario string, best_k int, bic double, log_likelihood double, ari_between double")
+
+
+# ---- A23, W4, T5, P26 ----
+
+def _stats_sql() -> str:
+    dbl = ", ".join(f"CAST(mart.{c} AS DOUBLE) AS {c}" for c in FEATS)
+    return f"""
+WITH base AS (SELECT scored.mode_id AS cluster_id, {dbl} FROM scored JOIN mart USING (entity_id, period_key)),
+long AS (SELECT * FROM base UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(FEATS)})))
+SELECT cluster_id, feature, avg(value) AS mean, median(value) AS median, count(value) AS count FROM long GROUP BY ALL"""
+
+
+@query("cluster_profile_stats", _stats_sql())
+def q_cluster_profile_stats(spark, sf_dir):
+    """Per cluster x feature mean, median and non-null count: one grouped wide aggregate (k rows), then
+    long form by `stack` — the rows are never unpivoted before aggregation."""
+    from termlens.operators.marts import build_feature_mart
+    from termlens.operators.profiles import scored_mart
+    from termlens.session import cut_lineage
+    mart = cut_lineage(build_feature_mart(Tables(spark, sf_dir)))
+    df = scored_mart(mart, carry=FEATS)
+    aggs = []
+    for c in FEATS:
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.median(x).alias(f"{c}__median"), F.count(x).alias(f"{c}__count")]
+    wide = df.groupBy(F.col("mode_id").alias("cluster_id")).agg(*aggs)
+    args = ", ".join(f"'{c}', `{c}__mean`, `{c}__median`, `{c}__count`" for c in FEATS)
+    return wide.selectExpr("cluster_id", f"stack({len(FEATS)}, {args}) AS (feature, mean, median, count)")
+
+
+@query("top_n_features", f"SELECT cluster_id, rank, feature, abs_z FROM ({_top_sql('mode_id', None)})")
+def q_top_n_features(spark, sf_dir):
+    """The top 10 features by |z| per cluster (row_number over <= p rows per cluster)."""
+    return _top(spark, sf_dir, "mode_id").select("cluster_id", "rank", "feature", "abs_z")
+
+
+@query("top_loadings")
+def q_top_loadings(spark, sf_dir):
+    """T5: 20 features by |loading| on PC1 and PC2 of the z-scaled screening features."""
+    z, keep = _screen_features(spark, sf_dir)
+    model, _ = PP.pca_fit(z, keep, 2)
+    pc = model.pc.toArray()
+    rows = [(j + 1, keep[i], float(pc[i, j])) for j in range(pc.shape[1]) for i in range(len(keep))]
+    from pyspark.sql import Window
+    d = spark.createDataFrame(rows, "component int, feature string, loading double")
+    w = Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")   # p rows per component
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)
+
+
+# The profile table's published column order (names that are absent are skipped).
+PROFILE_ORDER = ["entity_id", "period_key", "XB", "XSM", "ZYM", "CLASS_NAME", "mode_id", "mode_name", "mode_pmax",
+                 "mode_margin", "mode_entropy", *[f"p_mode_{i}" for i in range(K)], "subtype_id", "subtype_name",
+                 "subtype_note", "mode_evidence", *C.DIM_COLS, *C.KEY_METRICS]
+
+
+@query("select_existing", "SELECT " + ", ".join(c for c in PROFILE_ORDER if c != "subtype_name") + " FROM profiles")
+def q_select_existing(spark, sf_dir):
+    """Ordered column list, absent columns (here `subtype_name`) skipped."""
+    from termlens.operators.profiles import entity_profiles
+    p = entity_profiles(Tables(spark, sf_dir))
+    return p.select(*[c for c in PROFILE_ORDER if c in p.columns])
