@@ -26,10 +26,13 @@ def window_features(events: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 def stream_window_features(spark: SparkSession, path: str, width: str = "1 day", watermark: str = "1 day",
-                           checkpoint: str | None = None, query_name: str = "event_windows"):
-    """Start a streaming query over Parquet event files under `path` (append mode: a window is emitted once the
+                           checkpoint: str | None = None, query_name: str = "event_windows", glob: str | None = None):
+    """Start a streaming query over Parquet event files in directory `path` (optionally filtered by `glob`; append mode: a window is emitted once the
     watermark passes its end). Returns the StreamingQuery writing to an in-memory table `query_name`."""
-    src = spark.readStream.schema(EVENT_SCHEMA).parquet(path)
+    r = spark.readStream.schema(EVENT_SCHEMA)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    src = r.parquet(path)
     agg = window_features(src.withWatermark("ts", watermark), width)
     w = agg.writeStream.outputMode("append").format("memory").queryName(query_name)
     if checkpoint:
