@@ -19,8 +19,12 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # dimension tables are broadcast only by explicit, size-checked hints (see operators.joins)
-    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # no broadcast from static estimates; AQE broadcasts a join side only after measuring it at runtime
+    # (shuffle statistics) and keeps the sort-merge join otherwise. Explicit broadcast() is used only for
+    # tables of fixed size (nation, region, label tables).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
 }
 
 
