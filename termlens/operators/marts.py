@@ -216,3 +216,19 @@ def assemble_mart(blocks: dict[str, DataFrame]) -> DataFrame:
 
 def build_feature_mart(t: Tables, opts: MartOptions = MartOptions()) -> DataFrame:
     return assemble_mart(mart_blocks(t, opts))
+
+
+_MATERIALIZED: dict = {}
+
+
+def materialized_mart(t: Tables, opts: MartOptions = MartOptions()) -> DataFrame:
+    """The mart written once per (session, input folder) as a reliable checkpoint in the shared checkpoint folder
+    and reused by every later stage (the reference writes its mart once and all steps read that file). Survives
+    executor loss; never a local checkpoint."""
+    from termlens.session import cut_lineage
+    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir.rstrip("/"), opts)
+    df = _MATERIALIZED.get(key)
+    if df is None:
+        df = cut_lineage(build_feature_mart(t, opts))
+        _MATERIALIZED[key] = df
+    return df

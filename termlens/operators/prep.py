@@ -277,7 +277,10 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
     rb = ranked.select(*keys, "g", F.col("feature").alias("b"), F.col("rank").alias("rb"))
     # feature pairs inside one row (bounded by p^2 per row), aggregated map-side right after the join
     prs = ra.join(rb, keys + ["g"]).join(F.broadcast(owned), ["g", "a", "b"])
-    stats = prs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("corr"))
+    # Pearson of the ranks from stable moments; zero variance -> null (try_divide: ANSI-safe)
+    stats = prs.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("corr"))
     res = owned.join(stats, ["a", "b"], "left").select("a", "b", F.coalesce(F.col("n"), F.lit(0)).alias("n"), "corr")
     pos = F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(c), F.lit(i))])
     swap = F.element_at(pos, F.col("a")) > F.element_at(pos, F.col("b"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termlens import config as C
 from termlens.operators import scores as S
-from termlens.operators.marts import build_feature_mart
+from termlens.operators.marts import build_feature_mart, materialized_mart
 from termlens.functions.nulls import mean_of_rounded, np_round
 from termlens.session import cut_lineage
 from termlens.sources import bindings as B
@@ -64,9 +64,7 @@ def scored_mart(mart: DataFrame, carry: list | None = None) -> DataFrame:
 
 
 def soft_labels(t: Tables, materialize: bool = True) -> DataFrame:
-    mart = build_feature_mart(t)
-    if materialize:
-        mart = cut_lineage(mart)
+    mart = materialized_mart(t) if materialize else build_feature_mart(t)
     return scored_mart(mart)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termlens.operators import prep as PP
 from termlens.operators import quality as QL
-from termlens.operators.marts import MART_COLUMNS, build_feature_mart
+from termlens.operators.marts import MART_COLUMNS, build_feature_mart, materialized_mart
 from termlens.plans import sql_exprs  # noqa: F401  (registers the scored / profile CTEs)
 from termlens.plans.registry import query
 from termlens.plans.sql_bindings import MART_BIGINT
@@ -25,8 +25,8 @@ POS = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(FE
 
 
 def _mart(spark, sf_dir, materialize=True):
-    m = build_feature_mart(Tables(spark, sf_dir))
-    return cut_lineage(m) if materialize else m
+    t = Tables(spark, sf_dir)
+    return materialized_mart(t) if materialize else build_feature_mart(t)
 
 
 def _pos(col: str) -> str:
