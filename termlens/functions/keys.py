@@ -28,11 +28,9 @@ def term_from_code(c) -> Column:
 def term_from_text(c) -> Column:
     """`2020-2021学年第2学期` -> `2020-2021-2`; no match -> null."""
     s = normalize_null(c)
-    y1 = F.regexp_extract(s, TERM_TEXT_PATTERN, 1)
-    y2 = F.regexp_extract(s, TERM_TEXT_PATTERN, 2)
-    t = F.regexp_extract(s, TERM_TEXT_PATTERN, 3)
-    ok = (y1 != "") & (y2 != "") & (t != "")
-    return F.when(ok, F.concat(y1, F.lit("-"), y2, F.lit("-"), t))
+    # one regex pass: the leftmost match is rewritten to SENTINEL + key; no match leaves the text unchanged
+    r = F.regexp_replace(s, r"(?s)^.*?" + TERM_TEXT_PATTERN + r".*$", "\u0001$1-$2-$3")
+    return F.when(r.startswith("\u0001") & (r != s), r.substr(F.lit(2), F.length(r)))
 
 
 def _year_int(c) -> Column:

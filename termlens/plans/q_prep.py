@@ -42,7 +42,7 @@ SELECT feature, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS missing_rate,
        quantile_cont(value, 0.99) AS p99, max(value) AS max
 FROM {LONG} GROUP BY feature""")
 def q_feature_ranges(spark, sf_dir):
-    return QL.feature_ranges(_mart(spark, sf_dir, False), FEATS)
+    return QL.feature_ranges(_mart(spark, sf_dir), FEATS)
 
 
 _AUDIT = f"""SELECT feature, CASE WHEN feature IN ({', '.join(repr(c) for c in MART_BIGINT)}) THEN 'bigint' ELSE 'double' END AS dtype,
@@ -54,7 +54,7 @@ FROM {LONG} GROUP BY feature"""
 
 @query("missing_audit", _AUDIT)
 def q_missing_audit(spark, sf_dir):
-    return QL.missing_audit(_mart(spark, sf_dir, False), FEATS)
+    return QL.missing_audit(_mart(spark, sf_dir), FEATS)
 
 
 @query("audit_summary", f"""
@@ -63,32 +63,32 @@ SELECT max(n_total) AS n_rows, {len(FEATS) + 2} AS n_cols_total, count(*) AS n_f
        count(*) FILTER (WHERE missing_rate > 0.60) AS feature_missing_gt_60pct
 FROM ({_AUDIT})""")
 def q_audit_summary(spark, sf_dir):
-    a = QL.missing_audit(_mart(spark, sf_dir, False), FEATS)
+    a = QL.missing_audit(_mart(spark, sf_dir), FEATS)
     return QL.audit_summary(a, None, len(FEATS) + 2)
 
 
 @query("whitelist_rule", f"""SELECT feature, missing_rate, numeric_parse_rate, n_unique_nonnull FROM ({_AUDIT})
 WHERE missing_rate > 0 AND missing_rate <= 0.40 AND numeric_parse_rate >= 0.95 AND n_unique_nonnull >= 20""")
 def q_whitelist_rule(spark, sf_dir):
-    a = QL.missing_audit(_mart(spark, sf_dir, False), FEATS)
+    a = QL.missing_audit(_mart(spark, sf_dir), FEATS)
     return QL.whitelist_rule(a).select("feature", "missing_rate", "numeric_parse_rate", "n_unique_nonnull")
 
 
 @query("keep_low_missing", f"SELECT feature, missing_rate FROM ({_AUDIT}) WHERE missing_rate <= 0.6")
 def q_keep_low_missing(spark, sf_dir):
-    return QL.keep_low_missing(QL.missing_audit(_mart(spark, sf_dir, False), FEATS))
+    return QL.keep_low_missing(QL.missing_audit(_mart(spark, sf_dir), FEATS))
 
 
 @query("top_missing_features", f"SELECT feature, missing_rate FROM ({_AUDIT}) ORDER BY missing_rate DESC, feature LIMIT 20")
 def q_top_missing(spark, sf_dir):
-    a = QL.missing_audit(_mart(spark, sf_dir, False), FEATS)
+    a = QL.missing_audit(_mart(spark, sf_dir), FEATS)
     return a.orderBy(F.desc("missing_rate"), "feature").limit(20).select("feature", "missing_rate")
 
 
 @query("missing_flags", "SELECT entity_id, period_key, " + ", ".join(
     f"CAST({c} IS NULL AS INTEGER) AS is_missing_{c}" for c in FEATS) + " FROM mart")
 def q_missing_flags(spark, sf_dir):
-    return QL.missing_flags(_mart(spark, sf_dir, False), KEYS, FEATS)
+    return QL.missing_flags(_mart(spark, sf_dir), KEYS, FEATS)
 
 
 _HWCOLS = ["CREATER_TIME", "ANSWER_TIME", "CLASS_ID", "IS_UNGRADED"]
@@ -363,5 +363,5 @@ def q_union_rows(spark, sf_dir):
 
 @query("hstack_columns", "SELECT entity_id, period_key, kccj_mean, CAST(att_event_cnt IS NULL AS INTEGER) AS is_missing_att_event_cnt FROM mart")
 def q_hstack_columns(spark, sf_dir):
-    m = _mart(spark, sf_dir, False)
+    m = _mart(spark, sf_dir)
     return m.select(*KEYS, "kccj_mean", F.col("att_event_cnt").isNull().cast("int").alias("is_missing_att_event_cnt"))
