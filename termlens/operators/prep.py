@@ -256,12 +256,15 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
         mask = F.lit(True)
         for c in {plist[i][0], plist[j][0]}:
             mask = mask & F.col(c).isNotNull()
-        entries += [F.when(mask, F.struct(F.lit(gid).alias("g"), F.lit(c).alias("feature"), F.col(c).alias("value")))
-                    for c in gcols]
+        # side: 0 for the first pattern's columns, 1 for the second's (diagonal groups: all 0); pos: order in the group
+        entries += [F.when(mask, F.struct(F.lit(gid).alias("g"), F.lit(c).alias("feature"), F.col(c).alias("value"),
+                                          F.lit(0 if (i == j or c in plist[i]) else 1).alias("side"),
+                                          F.lit(pos).alias("pos"), F.lit(i == j).alias("diag")))
+                    for pos, c in enumerate(gcols)]
     # one projection + explode: each row contributes its values once per pattern group it is complete for
     long = x.select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("kv")) \
-        .select(*keys, "kv.g", "kv.feature", "kv.value")
-    ranks = average_rank(long, ["g", "feature"], "value", buckets)
+        .select(*keys, "kv.g", "kv.feature", "kv.value", "kv.side", "kv.pos", "kv.diag")
+    ranks = average_rank(long.select("g", "feature", "value"), ["g", "feature"], "value", buckets)
     ranked = long.join(ranks, ["g", "feature", "value"])
     pair_rows = []
     for gid, (i, j, gcols) in enumerate(groups):
@@ -273,10 +276,15 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
     spark = df.sparkSession
     # owned (group, a, b) pairs: at most p(p-1)/2 rows, a fixed-size table (broadcast is size-bounded by p^2)
     owned = spark.createDataFrame(pair_rows, "g int, a string, b string")
-    ra = ranked.select(*keys, "g", F.col("feature").alias("a"), F.col("rank").alias("ra"))
-    rb = ranked.select(*keys, "g", F.col("feature").alias("b"), F.col("rank").alias("rb"))
-    # feature pairs inside one row (bounded by p^2 per row), aggregated map-side right after the join
-    prs = ra.join(rb, keys + ["g"]).join(F.broadcast(owned), ["g", "a", "b"])
+    ra = ranked.select(*keys, "g", F.col("feature").alias("a"), F.col("rank").alias("ra"), F.col("side").alias("sa"),
+                       F.col("pos").alias("pa"), "diag")
+    rb = ranked.select(*keys, "g", F.col("feature").alias("b"), F.col("rank").alias("rb"), F.col("side").alias("sb"),
+                       F.col("pos").alias("pb"))
+    # only the owned feature pairs of a row are formed (first pattern x second pattern, or a < b on the
+    # diagonal): at most p(p-1)/2 per row, aggregated map-side right after the join
+    cond = [ra[k] == rb[k] for k in keys + ["g"]]
+    pair_ok = (F.col("diag") & (F.col("pa") < F.col("pb"))) | (~F.col("diag") & (F.col("sa") == 0) & (F.col("sb") == 1))
+    prs = ra.join(rb, cond).where(pair_ok).select("a", "b", "ra", "rb")
     # Pearson of the ranks from stable moments; zero variance -> null (try_divide: ANSI-safe)
     stats = prs.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"),
