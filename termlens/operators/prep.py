@@ -251,21 +251,33 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
     for i in range(len(plist)):
         for j in range(i, len(plist)):
             groups.append((i, j, plist[i] if i == j else plist[i] + plist[j]))
-    entries = []
+    spark = df.sparkSession
+    masks = {}
     for gid, (i, j, gcols) in enumerate(groups):
-        mask = F.lit(True)
+        m = F.lit(True)
         for c in {plist[i][0], plist[j][0]}:
-            mask = mask & F.col(c).isNotNull()
-        # side: 0 for the first pattern's columns, 1 for the second's (diagonal groups: all 0); pos: order in the group
-        entries += [F.when(mask, F.struct(F.lit(gid).alias("g"), F.lit(c).alias("feature"), F.col(c).alias("value"),
-                                          F.lit(0 if (i == j or c in plist[i]) else 1).alias("side"),
-                                          F.lit(pos).alias("pos"), F.lit(i == j).alias("diag")))
-                    for pos, c in enumerate(gcols)]
-    # one projection + explode: each row contributes its values once per pattern group it is complete for
-    long = x.select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("kv")) \
-        .select(*keys, "kv.g", "kv.feature", "kv.value", "kv.side", "kv.pos", "kv.diag")
-    ranks = average_rank(long.select("g", "feature", "value"), ["g", "feature"], "value", buckets)
-    ranked = long.join(ranks, ["g", "feature", "value"])
+            m = m & F.col(c).isNotNull()
+        masks[gid] = m
+    # pattern groups whose complete-row subsets coincide (same count and key-hash sum) share one ranking
+    h = F.xxhash64(*keys) % 1000003
+    srow = x.agg(*[F.count_if(masks[g]).alias(f"n{g}") for g in masks],
+                 *[F.sum(F.when(masks[g], h)).alias(f"h{g}") for g in masks]).first()
+    first_gid, sid_of = {}, {}
+    for g in masks:
+        sid_of[g] = first_gid.setdefault((srow[f"n{g}"], srow[f"h{g}"]), g)
+    need = list(dict.fromkeys((sid_of[gid], c) for gid, (i, j, gcols) in enumerate(groups) for c in gcols))
+    # one projection + explode: each row contributes a value once per (subset, feature) it is complete for
+    rank_entries = [F.when(masks[sd], F.struct(F.lit(sd).alias("s"), F.lit(c).alias("feature"), F.col(c).alias("value")))
+                    for sd, c in need]
+    long_s = x.select(*keys, F.explode(F.filter(F.array(*rank_entries), lambda e: e.isNotNull())).alias("kv")) \
+        .select(*keys, "kv.s", "kv.feature", "kv.value")
+    ranks = average_rank(long_s.select("s", "feature", "value"), ["s", "feature"], "value", buckets)
+    ranked_s = long_s.join(ranks, ["s", "feature", "value"])
+    # fan shared ranks out to the groups using them; side 0 / 1 = first / second pattern, pos = order in the group
+    gfeat = spark.createDataFrame([(gid, sid_of[gid], c, 0 if (i == j or c in plist[i]) else 1, pos, i == j)
+                                   for gid, (i, j, gcols) in enumerate(groups) for pos, c in enumerate(gcols)],
+                                  "g int, s int, feature string, side int, pos int, diag boolean")
+    ranked = ranked_s.join(F.broadcast(gfeat), ["s", "feature"])      # <= groups x p rows: bounded by p^2
     pair_rows = []
     for gid, (i, j, gcols) in enumerate(groups):
         for a_i, a in enumerate(gcols):
@@ -273,7 +285,6 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
                 if i != j and (a in plist[i]) == (b in plist[i]):
                     continue            # pairs inside one pattern are handled by that pattern's own group
                 pair_rows.append((gid, a, b))
-    spark = df.sparkSession
     # owned (group, a, b) pairs: at most p(p-1)/2 rows, a fixed-size table (broadcast is size-bounded by p^2)
     owned = spark.createDataFrame(pair_rows, "g int, a string, b string")
     ra = ranked.select(*keys, "g", F.col("feature").alias("a"), F.col("rank").alias("ra"), F.col("side").alias("sa"),
