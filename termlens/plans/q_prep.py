@@ -327,22 +327,29 @@ def q_first_per_key(spark, sf_dir):
     return PP.first_per_key(m, "entity_id", [F.col("period_key")])
 
 
+def _screen(spark, sf_dir):
+    """Screening features: <= 60 % missing (F7), median-filled and z-scaled (X1 + X14)."""
+    m = _mart(spark, sf_dir)
+    keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_audit(m, FEATS)).collect()]
+    return PP.zscore_matrix(m, KEYS, keep), keep
+
+
 @query("pca_fit")
 def q_pca_fit(spark, sf_dir):
-    z = PP.zscore_matrix(_mart(spark, sf_dir), KEYS, FEATS)
-    return PP.pca_fit(z, FEATS, 20)[1].select("component", "explained_ratio")
+    z, keep = _screen(spark, sf_dir)
+    return PP.pca_fit(z, keep, 20)[1].select("component", "explained_ratio")
 
 
 @query("cumulative_variance")
 def q_cumulative_variance(spark, sf_dir):
-    z = PP.zscore_matrix(_mart(spark, sf_dir), KEYS, FEATS)
-    return PP.pca_fit(z, FEATS, 20)[1]
+    z, keep = _screen(spark, sf_dir)
+    return PP.pca_fit(z, keep, 20)[1]
 
 
 @query("pca_project")
 def q_pca_project(spark, sf_dir):
-    z = PP.zscore_matrix(_mart(spark, sf_dir), KEYS, FEATS)
-    return PP.pca_project(z, KEYS, FEATS, 2)
+    z, keep = _screen(spark, sf_dir)
+    return PP.pca_project(z, KEYS, keep, 2)
 
 
 @query("sample_rows")
