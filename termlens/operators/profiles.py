@@ -13,7 +13,6 @@ from termlens import config as C
 from termlens.operators import scores as S
 from termlens.operators.marts import build_feature_mart, materialized_mart
 from termlens.functions.nulls import mean_of_rounded, np_round
-from termlens.session import cut_lineage
 from termlens.sources import bindings as B
 from termlens.sources.tables import Tables
 

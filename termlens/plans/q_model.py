@@ -44,8 +44,7 @@ def _with_q(s):
 
 
 def _scored_pq(spark, sf_dir):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
-    from termlens.session import cut_lineage
+    from termlens.operators.marts import materialized_mart
     t = Tables(spark, sf_dir)
     mart = materialized_mart(t)
     from termlens.operators.profiles import scored_mart
@@ -186,8 +185,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY _p, cluster_id ORDER BY round_ev
 
 
 def _top(spark, sf_dir, label, parent=None):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
-    from termlens.session import cut_lineage
+    from termlens.operators.marts import materialized_mart
     t = Tables(spark, sf_dir)
     mart = materialized_mart(t)
     from termlens.operators.profiles import scored_mart
@@ -295,8 +293,7 @@ def _dims(spark, sf_dir):
 def _screen_features(spark, sf_dir):
     """Screening input: features with <= 60 % missing, median-filled, z-scaled (run_eda screening step)."""
     from termlens.operators import quality as QL
-    from termlens.operators.marts import build_feature_mart, materialized_mart
-    from termlens.session import cut_lineage
+    from termlens.operators.marts import materialized_mart
     mart = materialized_mart(Tables(spark, sf_dir))
     keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_audit(mart, FEATS)).collect()]
     return PP.zscore_matrix(mart, KEYS, keep), keep
@@ -335,8 +332,7 @@ def q_soft_assignment_table(spark, sf_dir):
 
 @query("two_layer_cluster")
 def q_two_layer_cluster(spark, sf_dir):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
-    from termlens.session import cut_lineage
+    from termlens.operators.marts import materialized_mart
     t = Tables(spark, sf_dir)
     mart = materialized_mart(t)
     from termlens.operators.profiles import scored_mart
@@ -384,8 +380,7 @@ def q_choose_k(spark, sf_dir):
 def q_impute_ab_test(spark, sf_dir):
     """E5: the same mixture fit on median-filled vs tier-imputed raw features, compared by BIC and by ARI
     between the two labelings of the same rows."""
-    from termlens.operators.marts import build_feature_mart, materialized_mart
-    from termlens.session import cut_lineage
+    from termlens.operators.marts import materialized_mart
     mart = materialized_mart(Tables(spark, sf_dir))
     raw = ["kccj_mean", "kccj_fail_rate", "jdcj_mean", "att_present_rate", "hw_submit_cnt", "online_bfb"]
     base = PP.zscore_matrix(mart, KEYS, raw)
@@ -416,9 +411,8 @@ SELECT cluster_id, feature, avg(value) AS mean, median(value) AS median, count(v
 def q_cluster_profile_stats(spark, sf_dir):
     """Per cluster x feature mean, median and non-null count: one grouped wide aggregate (k rows), then
     long form by `stack` — the rows are never unpivoted before aggregation."""
-    from termlens.operators.marts import build_feature_mart, materialized_mart
+    from termlens.operators.marts import materialized_mart
     from termlens.operators.profiles import scored_mart
-    from termlens.session import cut_lineage
     mart = materialized_mart(Tables(spark, sf_dir))
     df = scored_mart(mart, carry=FEATS)
     aggs = []

@@ -11,7 +11,6 @@ from termlens.operators.marts import MART_COLUMNS, build_feature_mart, materiali
 from termlens.plans import sql_exprs  # noqa: F401  (registers the scored / profile CTEs)
 from termlens.plans.registry import query
 from termlens.plans.sql_bindings import MART_BIGINT
-from termlens.session import cut_lineage
 from termlens.sources import bindings as B
 from termlens.sources.tables import Tables
 

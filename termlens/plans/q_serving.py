@@ -43,8 +43,7 @@ def _groups(spark, sf_dir, level=LEVEL):
 @query("zscore", "SELECT entity_id, period_key, " + ", ".join(f"{X.z_sql(c)} AS z_{c}" for c in X.INPUTS)
        + " FROM mart, zstats zs")
 def q_zscore(spark, sf_dir):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
-    from termlens.session import cut_lineage
+    from termlens.operators.marts import materialized_mart
     m = materialized_mart(_t(spark, sf_dir))
     return S.zscore(m, X.INPUTS, keep=KEYS, suffix="") .select(*KEYS, *[F.col(c).alias(f"z_{c}") for c in X.INPUTS])
 
@@ -145,7 +144,7 @@ def q_attach_attributes(spark, sf_dir):
 SELECT s.entity_id, s.period_key, s.dim_academic, m.kccj_mean AS kccj_mean_raw, m.grade_course_cnt
 FROM scored s JOIN mart m USING (entity_id, period_key)""")
 def q_align_inner(spark, sf_dir):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
+    from termlens.operators.marts import materialized_mart
     t = _t(spark, sf_dir)
     s = PR.soft_labels(t).select(*KEYS, "dim_academic")
     m = build_feature_mart(t).select(*KEYS, F.col("kccj_mean").alias("kccj_mean_raw"), "grade_course_cnt")
@@ -156,7 +155,7 @@ def q_align_inner(spark, sf_dir):
 SELECT s.entity_id, s.period_key, s.mode_id, s.mode_pmax, m.kccj_mean, m.att_present_rate
 FROM scored s LEFT JOIN mart m USING (entity_id, period_key)""")
 def q_probs_with_raw(spark, sf_dir):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
+    from termlens.operators.marts import materialized_mart
     t = _t(spark, sf_dir)
     s = PR.soft_labels(t).select(*KEYS, "mode_id", "mode_pmax")
     m = build_feature_mart(t).select(*KEYS, "kccj_mean", "att_present_rate")
@@ -452,6 +451,6 @@ SELECT entity_id, period_key,
        (kccj_median - kccj_mean) / CASE WHEN abs(kccj_mean) > 1e-12 THEN abs(kccj_mean) ELSE 1.0 END AS rel_change
 FROM mart""")
 def q_safe_rel_change(spark, sf_dir):
-    from termlens.operators.marts import build_feature_mart, materialized_mart
+    from termlens.operators.marts import materialized_mart
     m = build_feature_mart(_t(spark, sf_dir))
     return m.select(*KEYS, SV.safe_rel_change("kccj_mean", "kccj_median").alias("rel_change"))

@@ -14,8 +14,6 @@ from termlens.operators import profiles as PR
 from termlens.plans import sql_exprs as X
 from termlens.plans.registry import query
 from termlens.plans.sql_bindings import CTES
-from termlens.sources import bindings as B
-from termlens.sources import files as FS
 from termlens.sources.tables import Tables
 
 K = C.N_MODES
