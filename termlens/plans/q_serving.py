@@ -147,7 +147,7 @@ def q_align_inner(spark, sf_dir):
     from termlens.operators.marts import materialized_mart
     t = _t(spark, sf_dir)
     s = PR.soft_labels(t).select(*KEYS, "dim_academic")
-    m = build_feature_mart(t).select(*KEYS, F.col("kccj_mean").alias("kccj_mean_raw"), "grade_course_cnt")
+    m = materialized_mart(t).select(*KEYS, F.col("kccj_mean").alias("kccj_mean_raw"), "grade_course_cnt")
     return s.join(m, KEYS, "inner")
 
 
@@ -158,7 +158,7 @@ def q_probs_with_raw(spark, sf_dir):
     from termlens.operators.marts import materialized_mart
     t = _t(spark, sf_dir)
     s = PR.soft_labels(t).select(*KEYS, "mode_id", "mode_pmax")
-    m = build_feature_mart(t).select(*KEYS, "kccj_mean", "att_present_rate")
+    m = materialized_mart(t).select(*KEYS, "kccj_mean", "att_present_rate")
     return s.join(m, KEYS, "left")
 
 
@@ -452,5 +452,5 @@ SELECT entity_id, period_key,
 FROM mart""")
 def q_safe_rel_change(spark, sf_dir):
     from termlens.operators.marts import materialized_mart
-    m = build_feature_mart(_t(spark, sf_dir))
+    m = materialized_mart(_t(spark, sf_dir))
     return m.select(*KEYS, SV.safe_rel_change("kccj_mean", "kccj_median").alias("rel_change"))
