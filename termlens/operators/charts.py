@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens import config as C
+from termlens.functions.nulls import canonical
 
 N_BINS = 30
 
@@ -17,7 +18,7 @@ def histogram(df: DataFrame, col: str, bins: int = N_BINS, lo: float | None = No
               series: str | None = None) -> DataFrame:
     """V1: equal-width bins over [lo, hi] (data range when not given); values outside are dropped, the last bin is
     closed as in NumPy. Returns (series, bin, lo_edge, hi_edge, n) for non-empty bins."""
-    x = F.col(col).cast("double")
+    x = canonical(F.col(col).cast("double"))      # bin edges are compared at 1e-9 (engine-independent)
     if lo is None or hi is None:
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
         lo, hi = r["lo"], r["hi"]
@@ -64,6 +65,7 @@ def density_grid(df: DataFrame, x: str, y: str, label: str, grid: int = 240, min
                  levels=(0.92, 0.82)) -> DataFrame:
     """V8 (re-aimed kernel density): per cluster with >= `min_points` points, counts on a grid x grid lattice over
     the global range, plus the cell-count quantile levels (core .92 / cover .82) of that cluster."""
+    df = df.select(label, canonical(F.col(x)).alias(x), canonical(F.col(y)).alias(y))   # bins compared at 1e-9
     r = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
     wx = (r["x1"] - r["x0"]) or 1.0
     wy = (r["y1"] - r["y0"]) or 1.0

@@ -244,11 +244,12 @@ def q_formula_catalog(spark, sf_dir):
 def _hist_sql(col: str, series: str, lo: str, hi: str) -> str:
     w = f"(CASE WHEN {hi} = {lo} THEN 1.0 ELSE {hi} - {lo} END)"
     return f"""SELECT '{series}' AS series, bin, {lo} + bin * ({w} / 30) AS lo_edge, {lo} + (bin + 1) * ({w} / 30) AS hi_edge, count(*) AS n
-FROM (SELECT CAST(least(floor(({col} - {lo}) / {w} * 30), 29) AS INTEGER) AS bin FROM scored, r
-      WHERE {col} >= {lo} AND {col} <= {hi}), r GROUP BY bin, {lo}, {hi}"""
+FROM (SELECT CAST(least(floor((round_even({col}, 9) - {lo}) / {w} * 30), 29) AS INTEGER) AS bin FROM scored, r
+      WHERE round_even({col}, 9) >= {lo} AND round_even({col}, 9) <= {hi}), r GROUP BY bin, {lo}, {hi}"""
 
 
-@query("histogram", "WITH r AS (SELECT min(mode_pmax) AS plo, max(mode_pmax) AS phi, min(mode_entropy) AS elo, max(mode_entropy) AS ehi, "
+@query("histogram", "WITH r AS (SELECT min(round_even(mode_pmax, 9)) AS plo, max(round_even(mode_pmax, 9)) AS phi, "
+       "min(round_even(mode_entropy, 9)) AS elo, max(round_even(mode_entropy, 9)) AS ehi, "
        "0.95 AS zlo, 1.0 AS zhi, 0.0 AS z0, 0.1 AS z1 FROM scored) "
        + " UNION ALL ".join([_hist_sql("mode_pmax", "pmax", "plo", "phi"), _hist_sql("mode_entropy", "entropy", "elo", "ehi"),
                              _hist_sql("mode_pmax", "pmax_zoom", "zlo", "zhi"), _hist_sql("mode_entropy", "entropy_zoom", "z0", "z1")]))
@@ -302,12 +303,13 @@ def q_mode_radar(spark, sf_dir):
 
 
 @query("density_grid", """
-WITH r AS (SELECT min(dim_academic) AS x0, max(dim_academic) AS x1, min(dim_development) AS y0, max(dim_development) AS y1 FROM scored),
-big AS (SELECT mode_id FROM scored GROUP BY mode_id HAVING count(*) >= 30),
+WITH sc AS (SELECT mode_id, round_even(dim_academic, 9) AS dim_academic, round_even(dim_development, 9) AS dim_development FROM scored),
+r AS (SELECT min(dim_academic) AS x0, max(dim_academic) AS x1, min(dim_development) AS y0, max(dim_development) AS y1 FROM sc),
+big AS (SELECT mode_id FROM sc GROUP BY mode_id HAVING count(*) >= 30),
 cells AS (SELECT s.mode_id, CAST(least(floor((dim_academic - x0) / CASE WHEN x1 = x0 THEN 1.0 ELSE x1 - x0 END * 240), 239) AS INTEGER) AS bin_x,
                  CAST(least(floor((dim_development - y0) / CASE WHEN y1 = y0 THEN 1.0 ELSE y1 - y0 END * 240), 239) AS INTEGER) AS bin_y,
                  count(*) AS n
-          FROM scored s JOIN big USING (mode_id), r GROUP BY ALL),
+          FROM sc s JOIN big USING (mode_id), r GROUP BY ALL),
 lv AS (SELECT mode_id, quantile_cont(n, 0.92) AS level_core, quantile_cont(n, 0.82) AS level_cover FROM cells GROUP BY mode_id)
 SELECT mode_id, bin_x, bin_y, n, level_core, level_cover FROM cells JOIN lv USING (mode_id)""")
 def q_density_grid(spark, sf_dir):
