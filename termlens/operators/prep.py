@@ -265,7 +265,23 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
     first_gid, sid_of = {}, {}
     for g in masks:
         sid_of[g] = first_gid.setdefault((srow[f"n{g}"], srow[f"h{g}"]), g)
-    need = list(dict.fromkeys((sid_of[gid], c) for gid, (i, j, gcols) in enumerate(groups) for c in gcols))
+    # a group with fewer complete rows than min_pairs can only give null correlations: its pair count is already
+    # known from this pass, so it is never ranked
+    live = [gid for gid in range(len(groups)) if (srow[f"n{gid}"] or 0) >= min_pairs]
+    pair_rows = []
+    for gid, (i, j, gcols) in enumerate(groups):
+        for a_i, a in enumerate(gcols):
+            for b in gcols[a_i + 1:]:
+                if i != j and (a in plist[i]) == (b in plist[i]):
+                    continue            # pairs inside one pattern are handled by that pattern's own group
+                pair_rows.append((gid, a, b, None if gid in live else int(srow[f"n{gid}"] or 0)))
+    # owned (group, a, b) pairs: at most p(p-1)/2 rows, a fixed-size table (broadcast is size-bounded by p^2)
+    owned = spark.createDataFrame(pair_rows, "g int, a string, b string, n_known long")
+    pos = F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(c), F.lit(i))])
+    if not live:
+        return _orient(owned.select("a", "b", F.col("n_known").alias("n"), F.lit(None).cast("double").alias("corr")),
+                       pos, min_pairs)
+    need = list(dict.fromkeys((sid_of[gid], c) for gid in live for c in groups[gid][2]))
     # one projection + explode: each row contributes a value once per (subset, feature) it is complete for
     rank_entries = [F.when(masks[sd], F.struct(F.lit(sd).alias("s"), F.lit(c).alias("feature"), F.col(c).alias("value")))
                     for sd, c in need]
@@ -274,19 +290,11 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
     ranks = average_rank(long_s.select("s", "feature", "value"), ["s", "feature"], "value", buckets)
     ranked_s = long_s.join(ranks, ["s", "feature", "value"])
     # fan shared ranks out to the groups using them; side 0 / 1 = first / second pattern, pos = order in the group
-    gfeat = spark.createDataFrame([(gid, sid_of[gid], c, 0 if (i == j or c in plist[i]) else 1, pos, i == j)
-                                   for gid, (i, j, gcols) in enumerate(groups) for pos, c in enumerate(gcols)],
+    gfeat = spark.createDataFrame([(gid, sid_of[gid], c, 0 if (groups[gid][0] == groups[gid][1] or c in plist[groups[gid][0]])
+                                    else 1, p, groups[gid][0] == groups[gid][1])
+                                   for gid in live for p, c in enumerate(groups[gid][2])],
                                   "g int, s int, feature string, side int, pos int, diag boolean")
     ranked = ranked_s.join(F.broadcast(gfeat), ["s", "feature"])      # <= groups x p rows: bounded by p^2
-    pair_rows = []
-    for gid, (i, j, gcols) in enumerate(groups):
-        for a_i, a in enumerate(gcols):
-            for b in gcols[a_i + 1:]:
-                if i != j and (a in plist[i]) == (b in plist[i]):
-                    continue            # pairs inside one pattern are handled by that pattern's own group
-                pair_rows.append((gid, a, b))
-    # owned (group, a, b) pairs: at most p(p-1)/2 rows, a fixed-size table (broadcast is size-bounded by p^2)
-    owned = spark.createDataFrame(pair_rows, "g int, a string, b string")
     ra = ranked.select(*keys, "g", F.col("feature").alias("a"), F.col("rank").alias("ra"), F.col("side").alias("sa"),
                        F.col("pos").alias("pa"), "diag")
     rb = ranked.select(*keys, "g", F.col("feature").alias("b"), F.col("rank").alias("rb"), F.col("side").alias("sb"),
@@ -300,10 +308,15 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
     stats = prs.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"),
         F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("corr"))
-    res = owned.join(stats, ["a", "b"], "left").select("a", "b", F.coalesce(F.col("n"), F.lit(0)).alias("n"), "corr")
-    pos = F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(c), F.lit(i))])
+    res = owned.join(stats, ["a", "b"], "left").select(
+        "a", "b", F.coalesce(F.col("n"), F.col("n_known"), F.lit(0)).alias("n"), "corr")
+    return _orient(res, pos, min_pairs)
+
+
+def _orient(res: DataFrame, pos: Column, min_pairs: int) -> DataFrame:
+    """(a, b) in column order; correlation kept only with >= min_pairs complete pairs and a finite value."""
     swap = F.element_at(pos, F.col("a")) > F.element_at(pos, F.col("b"))
-    ok = (F.col("n") >= min_pairs) & ~F.isnan(F.col("corr"))
+    ok = (F.col("n") >= min_pairs) & F.col("corr").isNotNull() & ~F.isnan(F.col("corr"))
     return res.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
                       F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "n",
                       F.when(ok, F.col("corr")).alias("corr"))
