@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import decontaminate, simhash, url_filter
+from termlens.llm import decontaminate, pii, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ WITH p AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url,
 h AS (SELECT page_id, url, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), {_LOWER}) AS host,
              regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 q AS (SELECT *, list_filter(string_split(regexp_extract(coalesce(url, ''), '://[^?#]*\?([^#]*)', 1), '&'),
-             x -> x <> '' AND NOT regexp_matches(x, '^(?:utm_source|utm_medium|utm_campaign|utm_term|utm_content|ref|fbclid|gclid)(?:=|$)')) AS args FROM h),
+             lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_source|utm_medium|utm_campaign|utm_term|utm_content|ref|fbclid|gclid)(?:=|$)')) AS args FROM h),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(?:www\.|m\.)', '') || regexp_replace(path, '/+$', '')
              || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS canonical FROM q),
 l AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '^(?:(?:www|m|blog)\.)?(?:ads-track|casino-win|spam-farm|adult-x|cheap-pills|free-bets)\.')),
@@ -63,6 +63,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+# ---------------------------------------------------------------- op2
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- op7
 
 @query("op7_simhash")
