@@ -7,14 +7,21 @@ the columns of `documents`. ORACLE_SQL is None: SimHash's XXH64, the fitted mode
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from termlens.llm import decontaminate, simhash
+from termlens.llm import decontaminate, language_id, packing, pii, simhash
 from termlens.llm.common import written
+from termlens.llm.queries import TOKENIZER
 
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; a null lang is filled with the prediction."""
+    return language_id.keep_known(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (the smallest doc_id)."""
     return simhash.keep_one_per_group(docs)
@@ -25,7 +32,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; no document goes."""
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining texts as pieces of packed sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("language_id", language), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination),
+          ("pii", personal_data), ("best_fit_packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
