@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import decontaminate, language_id, packing, pii, simhash, url_filter
+from termlens.llm import decontaminate, language_id, packing, pii, simhash, substring, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+# ---------------------------------------------------------------- op6
+
+_OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, k, sha256(array_to_string(ws[k:k + 34], ' ')) AS g FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 34)) AS k FROM d WHERE len(ws) >= 35)),
+r AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(k, k + 34)) AS p FROM w SEMI JOIN r ON w.g = r.g),
+x AS (SELECT rid, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS p FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM x ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
+
+@query("op6_substring_dedup", _OP6)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 # ---------------------------------------------------------------- op7
 
 @query("op7_simhash")
