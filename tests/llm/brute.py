@@ -44,3 +44,22 @@ def sha(text: str) -> str:
 
 def spans_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def tokens3(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split() + [b""]
+
+
+def unigram_scores(docs: list[tuple[int, str | None]]) -> dict[int, tuple[bool, int, int, int, float]]:
+    """doc_id -> held_out, n_tokens, n_known, N, base score."""
+    import math
+    import zlib
+    from collections import Counter
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs}
+    c = Counter(t for d, x in docs if not held[d] for t in tokens3(x))
+    n, v = sum(c.values()), len(c)
+    out = {}
+    for d, x in docs:
+        ts = tokens3(x)
+        out[d] = (held[d], len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts))
+    return out
