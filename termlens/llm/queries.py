@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import decontaminate, language_id, lm_score, packing, pii, simhash, substring, url_filter
+from termlens.llm import decontaminate, fingerprint, language_id, lm_score, packing, pii, simhash, substring, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+# ---------------------------------------------------------------- op5
+
+@query("op5_fingerprint")
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- op6
 
 _OP6 = r"""
