@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import decontaminate, fingerprint, language_id, lm_score, packing, pii, simhash, substring, url_filter
+from termlens.llm import decontaminate, fingerprint, language_id, lm_score, packing, pii, sharding, simhash, substring, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,10 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 @query("op9_decontaminate", _OP9)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---------------------------------------------------------------- op10
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
