@@ -40,6 +40,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWERED)
 
 
+def shielded(docs: DataFrame, *plain: str) -> DataFrame:
+    """All columns as k_0, k_1, ... (safe from clashes with working columns) plus the `plain` ones under their names."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(docs.columns)], *[F.col(f"`{c}`") for c in plain])
+
+
+def unshielded(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """Back to the columns of `docs`; `changed` replaces columns by name."""
+    return df.select(*[changed.get(c, F.col(f"k_{i}")).alias(c) for i, c in enumerate(docs.columns)])
+
+
 def chunk_count(n_rows: int) -> int:
     """Chunks for a distributed rank: about sqrt(n) chunks of about sqrt(n) rows, so that both the rows of one
     (key, chunk) group and the chunk totals of one key stay small, however many rows a key has."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.llm import words as W
-from termlens.llm.common import ascii_lower, text_or_empty, written
+from termlens.llm.common import ascii_lower, shielded, text_or_empty, unshielded, written
 
 WINDOW = 10
 MAX_WINDOWS = 1 << 19        # windows in one broadcast shard (about 60 bytes each)
@@ -143,10 +143,7 @@ def load_patterns(windows: DataFrame, max_windows: int = MAX_WINDOWS) -> Iterato
 def find_benchmark_words(docs: DataFrame, items: DataFrame, width: int = WINDOW, text_col: str = "text",
                          max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The columns of `docs` + n_words, hit_spans (word starts / ends of occurrences, flat) and hit_items (ids, sorted
-    as strings). One pass over the documents per shard of benchmark windows."""
-    clash = {"n_words", "hit_spans", "hit_items"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the outputs: rename them first")
+    as strings), which take the place of columns of these names. One pass over the documents per shard of windows."""
     out = docs.withColumn(text_col, text_or_empty(text_col)).withColumns({
         "n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
     schema = out.schema
@@ -170,6 +167,5 @@ def decontamination_report(docs: DataFrame, items: DataFrame, width: int = WINDO
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, columns unchanged (a null text comes back as null)."""
-    tmp = docs.select(*[F.col(c).alias(f"k_{c}") for c in docs.columns], F.col("text").alias("_text"))
-    found = find_benchmark_words(tmp, items, width, text_col="_text")
-    return found.where(F.size("hit_spans") == 0).select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    found = find_benchmark_words(shielded(docs, "text"), items, width)
+    return unshielded(found.where(F.size("hit_spans") == 0), docs)

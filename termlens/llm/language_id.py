@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.llm import words as W
+from termlens.llm.common import shielded, unshielded
 
 DIM = 4096
 PER_LANG = 800
@@ -211,7 +212,8 @@ def _judge_batches(batches: Iterator[pa.RecordBatch], models, text: str) -> Iter
 
 
 def predict(docs: DataFrame, models: dict[tuple[str, str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The columns of `docs` + lang_pred, score."""
+    """The columns of `docs` + lang_pred, score (in place of columns of these names)."""
+    docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(models)
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
@@ -230,7 +232,6 @@ def language_report(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents with a recognisable language, columns unchanged; a null lang takes the prediction."""
     models = train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
-    src = docs.select(*[F.col(c).alias(f"k_{c}") for c in docs.columns], F.col("text").alias("_text"))
-    got = predict(src, models, "_text").where(F.col("lang_pred") != UNKNOWN)
-    return got.select(*[(F.coalesce(F.col("k_lang").cast("string"), F.col("lang_pred")) if c == "lang" else F.col(f"k_{c}")).alias(c)
-                        for c in docs.columns])
+    got = predict(shielded(docs, "text"), models).where(F.col("lang_pred") != UNKNOWN)
+    lang = F.col(f"k_{docs.columns.index('lang')}")
+    return unshielded(got, docs, lang=F.coalesce(lang.cast("string"), F.col("lang_pred")))

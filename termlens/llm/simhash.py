@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.llm.common import components, written
+from termlens.llm.common import components, shielded, unshielded, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -81,8 +81,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
-    """The non-text columns of `docs` + fp (64-bit fingerprint as a signed long)."""
-    rest = [c for c in docs.columns if c != text_col]
+    """The non-text columns of `docs` + fp (64-bit fingerprint as a signed long, in place of a column of that name)."""
+    rest = [c for c in docs.columns if c not in (text_col, "fp", "component")]
     src = docs.select(*rest, F.col(text_col).cast("string").alias("_text"))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), "fp long"])
     return src.mapInArrow(lambda it: _fingerprint_batches(it, shingle), ddl)
@@ -236,6 +236,6 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     got = near_duplicates(ids, shingle, radius)
     keep = got.groupBy("component").agg(F.min(F.struct("doc_id", "_th")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k._th").alias("_kth"))
-    cols = docs.columns
-    kept = docs.withColumn("_th", th).join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_kth")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*cols).unionByName(docs.where("doc_id IS NULL"))
+    rows = shielded(docs, "doc_id", "text").withColumn("_th", th).drop("text")
+    kept = rows.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_kth")), "left_semi")
+    return unshielded(kept.dropDuplicates(["doc_id", "_th"]), docs).unionByName(docs.where("doc_id IS NULL"))

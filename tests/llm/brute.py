@@ -63,3 +63,81 @@ def unigram_scores(docs: list[tuple[int, str | None]]) -> dict[int, tuple[bool,
         ts = tokens3(x)
         out[d] = (held[d], len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts))
     return out
+
+
+def words6(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()
+
+
+def repeats(texts: list[str | None], width: int = 35) -> list[tuple[int, int, str]]:
+    """n_words, n_removed, kept_sha256 of every text."""
+    from collections import Counter
+    ws = [words6(t) for t in texts]
+    seen = Counter(tuple(w[i:i + width]) for w in ws for i in range(len(w) - width + 1))
+    out = []
+    for w in ws:
+        gone = {i + k for i in range(len(w) - width + 1) if seen[tuple(w[i:i + width])] > 1 for k in range(width)}
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def simhash(text: str | None) -> int:
+    import xxhash
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    sh = [b" ".join(w[i:i + 4]) for i in range(len(w) - 3)] or [b" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def linked(ids: list, fps: list[int], radius: int = 4) -> list:
+    """Smallest reachable id of every row."""
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(ids)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+WORD9 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words9(text: str | None) -> list[str]:
+    return WORD9.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def contamination(text: str | None, items: list[tuple], width: int = 10) -> tuple[int, int, int, str]:
+    w = words9(text)
+    hit, ids = set(), set()
+    for item, t in items:
+        iw = words9(t)
+        m = min(width, len(iw))
+        wins = {tuple(iw[i:i + m]) for i in range(len(iw) - m + 1)} if m else set()
+        for i in range(len(w) - m + 1):
+            if tuple(w[i:i + m]) in wins:
+                hit |= set(range(i, i + m))
+                ids.add(str(item))
+    return len(w), len(hit), len(ids), sha(",".join(sorted(ids)))
+
+
+def jaccard(a: str, b: str) -> float:
+    def sh(t):
+        w = re.split("[ \t\n\x0b\f\r]+", t)
+        w = [x for x in w if x]
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    x, y = sh(a), sh(b)
+    return len(x & y) / len(x | y)
