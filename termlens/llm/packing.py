@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from termlens.llm.common import ranked, written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ITEMS = 200_000
+CACHE_ITEMS = 1_000_000      # pieces a worker keeps, about 200 MB
 BLOCK = 64                   # lengths below this are placed in the gaps, not priced
 PRICED = 192                 # lengths that one pricing step looks at: those that lag most
 STEPS = 1500
@@ -77,7 +78,7 @@ class Encoder:
         for k in range(0, len(missing), 4096):
             group = missing[k:k + 4096]
             for p, e in zip(group, self.tok.encode_batch_fast(group, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+                cache[p] = array("I", e.ids).tobytes()
         return [b"".join([cache[p] for p in ps]) for ps in cut]
 
 
