@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termlens.functions.nulls import col, normalize_null, to_number
+from termlens.functions.nulls import col, normalize_null, strip, to_number
 
 # Pattern of a Chinese term label such as `2020-2021学年第2学期` (spaces tolerated),
 # and of a time-of-day text `H:MM:SS`.
@@ -81,11 +81,11 @@ def duration_fix(create_time, answer_time, recorded) -> Column:
 
 def normalize_id(c) -> Column:
     """Trim; `123.0` -> `123` for digit ids; strip one pair of matching quotes; missing -> ''."""
-    s = F.coalesce(F.trim(col(c).cast("string")), F.lit(""))
+    s = F.coalesce(strip(c), F.lit(""))
     s = F.regexp_replace(s, r"^(\d*)\.0$", "$1")
     quoted = (s.startswith('"') & s.endswith('"')) | (s.startswith("'") & s.endswith("'"))
     inner = F.when(F.length(s) >= 2, s.substr(F.lit(2), F.length(s) - 2)).otherwise(F.lit(""))
-    return F.when(quoted, F.trim(inner)).otherwise(s)
+    return F.when(quoted, strip(inner)).otherwise(s)
 
 
 def looks_like_id(c, prefix: str = ID_PREFIX, min_len: int = ID_MIN_LEN) -> Column:

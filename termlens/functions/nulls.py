@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 MISSING_TOKENS = ("nan",)
 
 
+# The characters that trimming removes on both ends (all Unicode white space).
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c) -> Column:
+    """Text without white space at both ends (Spark's `trim` alone removes spaces only)."""
+    return F.trim(col(c).cast("string"), F.lit(WHITE_SPACE))
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -21,13 +30,13 @@ def to_number(c) -> Column:
 
 def normalize_null(c) -> Column:
     """Blank, whitespace-only or `nan` text -> null, else the trimmed text."""
-    t = F.trim(col(c).cast("string"))
+    t = strip(c)
     return F.when((t == "") | F.lower(t).isin(*MISSING_TOKENS), F.lit(None).cast("string")).otherwise(t)
 
 
 def is_missing_value(c) -> Column:
     """Null, blank or `nan` text (as 0/1 boolean)."""
-    t = F.trim(col(c).cast("string"))
+    t = strip(c)
     return col(c).isNull() | (t == "") | F.lower(t).isin(*MISSING_TOKENS)
 
 

@@ -51,29 +51,57 @@ def classify_intent(msg) -> Column:
 
 
 def mask_field_names(text) -> Column:
-    """TX2: whole-word replacement of internal names, then p_mode_N / mode_N_pct, then any leftover dim_*."""
-    out = F.coalesce(_c(text).cast("string"), F.lit(""))
-    for k, v in FIELD_LABELS.items():
-        out = F.regexp_replace(out, rf"\b{k}\b", v)
-    out = F.regexp_replace(out, r"\bp_mode_(\d+)\b", P_MODE_LABEL)
-    out = F.regexp_replace(out, r"\bmode_(\d+)_pct\b", MODE_PCT_LABEL)
-    return F.regexp_replace(out, r"\bdim_[a-z_]+\b", DIM_FALLBACK)
+    """TX2: internal names replaced word by word: listed names by their label, p_mode_N / mode_N_pct by the mode labels,
+    any other dim_* by the fallback. One pass over the word and non-word runs of the text."""
+    labels = F.create_map(*[F.lit(x) for kv in FIELD_LABELS.items() for x in kv])
+    runs = F.regexp_extract_all(F.coalesce(_c(text).cast("string"), F.lit("")), F.lit(r"(\w+|\W+)"), 1)
+
+    def shown(w: Column) -> Column:
+        return F.coalesce(labels[w], F.when(w.rlike(r"^p_mode_\d+$"), F.regexp_replace(w, r"^p_mode_(\d+)$", P_MODE_LABEL))
+                          .when(w.rlike(r"^mode_\d+_pct$"), F.regexp_replace(w, r"^mode_(\d+)_pct$", MODE_PCT_LABEL))
+                          .when(w.rlike(r"^dim_[a-z_]+$"), F.lit(DIM_FALLBACK)).otherwise(w))
+
+    return F.array_join(F.transform(runs, shown), "")
+
+
+# Symbols that start a line of their own.
+POINT_SYMBOLS = "👉✅📌➡️"
+#: where a line is cut: before a section title, a counted item, a numbered item or a point symbol
+_CUTS = (rf"(?={'(?:' + SECTION_TITLES + ')'}\s*：)", r"(?<![一二三四五六七八九十])(?=[一二三四五六七八九十]+、)", r"\s+(?=\d+\.\s)", rf"\s+(?=[{POINT_SYMBOLS}])")
+_TITLE = rf"^(?:{SECTION_TITLES})\s*："
+_COUNTED = r"^[一二三四五六七八九十]+、"
 
 
 def strip_markup(text) -> Column:
-    """TX3: unify newlines, drop emphasis and rules, break paragraphs before section titles and numbered items,
-    squeeze blank lines."""
-    out = F.regexp_replace(F.coalesce(_c(text).cast("string"), F.lit("")), "\r\n", "\n")
-    out = F.regexp_replace(out, r"\*\*", "")
-    out = F.regexp_replace(out, r"(^|[^\d])\*(?!\d)(.*?)\*(?!\d)", "$1$2")
-    out = F.regexp_replace(out, r"(?m)^\s*[-*_]{3,}\s*$", "")
-    out = F.regexp_replace(out, r"\s*---+\s*", "\n\n")
-    out = F.regexp_replace(out, rf"({SECTION_TITLES})\s*：", "\n\n$1：\n")
-    out = F.regexp_replace(out, r"([一二三四五六七八九十]+、)", "\n\n$1")
-    out = F.regexp_replace(out, r"\s(?=\d+\.\s)", "\n")
-    out = F.regexp_replace(out, r"([。！？])\s+(?=[一二三四五六七八九十]+、|\d+\.\s)", "$1\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.trim(out)
+    """TX3: model text as plain paragraphs.
+
+    The text becomes a list of lines; a rule (three or more of - * _) ends a paragraph, emphasis marks go (a star next to a digit is
+    a product and stays), and every line is cut into parts at titles and items. Parts are then classed: a title opens a
+    paragraph and stands on its own line, a counted item opens a paragraph, any other part is a line. Blank
+    lines are squeezed to one, none stay at the ends."""
+    ws = "\\s\u3000\u00a0"
+    lines = F.split(F.coalesce(_c(text).cast("string"), F.lit("")), r"\r?\n")
+
+    def parts(line: Column) -> Column:
+        plain = F.regexp_replace(F.replace(line, F.lit("**"), F.lit("")), r"(?<!\d)\*(?!\d)([^*]*)\*(?!\d)", "$1")
+        return F.flatten(F.transform(F.split(plain, r"\s*-{3,}\s*"), lambda p: F.concat(
+            F.array(F.lit("")), F.split(p, "|".join(_CUTS)), F.array(F.lit("")))))
+
+    def shown(p: Column) -> Column:
+        body = F.regexp_replace(p, f"^[{ws}]+|[{ws}]+$", "")
+        title = F.regexp_replace(F.regexp_extract(body, _TITLE, 0), r"\s*：$", "：")
+        rest = F.regexp_replace(body, _TITLE + rf"[{ws}]*", "")
+        return (F.when(title != "", F.array(F.lit(""), title, rest))
+                .when(body.rlike(_COUNTED), F.array(F.lit(""), body)).otherwise(F.array(body)))
+
+    def cut(line: Column) -> Column:
+        ruled = line.rlike(rf"^[{ws}]*[-*_]{{3,}}[{ws}]*$")
+        pieces = F.when(ruled, F.array(F.lit(""))).otherwise(F.when(line.rlike("-{3,}"), parts(line)).otherwise(
+            F.slice(parts(line), F.lit(2), F.size(parts(line)) - 2)))
+        return F.flatten(F.transform(pieces, shown))
+
+    joined = F.array_join(F.flatten(F.transform(lines, cut)), "\n")
+    return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), f"^[{ws}]+|[{ws}]+$", "")
 
 
 def fmt1(v) -> Column:

@@ -5,7 +5,7 @@ Binning is arithmetic on columns (no collect of points); global ranges are one a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens import config as C
@@ -43,7 +43,7 @@ def group_dim_heatmap(rollup: DataFrame, group_col: str) -> DataFrame:
     """V3: group x dimension mean and the global max |value| (colour scale), over the aggregated rollup rows."""
     long = rollup.select(group_col, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(f"{d}_mean").alias("value"))
                                                         for d in C.DIM_COLS])).alias("m")).select(group_col, "m.*")
-    return long.select("*", F.max(F.abs("value")).over(Window.partitionBy()).alias("vmax"))
+    return long.withColumn("vmax", F.lit(long.agg(F.max(F.abs("value"))).first()[0]).cast("double"))     # one number
 
 
 def group_risk_split(rollup: DataFrame, group_col: str) -> DataFrame:
@@ -78,10 +78,10 @@ def density_grid(df: DataFrame, x: str, y: str, label: str, grid: int = 240, min
                                         F.col("_q")[1].alias("level_cover"))
 
 
-def row_as_pairs(row_df: DataFrame, exclude_prefixes=("p_mode_", "dim_"), limit: int = 60) -> DataFrame:
-    """One row's numeric columns as (metric, value) pairs, probabilities and scores left out, first `limit`."""
+def row_as_pairs(row_df: DataFrame, exclude_prefixes=("p_mode_", "dim_")) -> DataFrame:
+    """One row's numeric columns as (metric, value) pairs, probabilities and scores left out."""
     cols = [f.name for f in row_df.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer")
-            and not f.name.startswith(exclude_prefixes)][:limit]
+            and not f.name.startswith(exclude_prefixes)]
     return row_df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("metric"),
                                                       F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)]))
                          .alias("m")).select("m.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from termlens.config import DIR_HINTS
 from termlens.functions.nulls import canonical
+from termlens.operators.quantiles import exact_quantiles
 
 STD_EPS = 1e-12
 TOP_N = 10
@@ -161,23 +162,23 @@ def prob_jsd(df: DataFrame, p: list[str], q: list[str], eps: float = 1e-12) -> D
 
 def pmax_quantiles(df: DataFrame, pmax: str = "mode_pmax") -> DataFrame:
     """M8: mean, p10, p50, p90 of p_max (linear percentiles)."""
-    q = F.percentile(F.col(pmax), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return df.agg(F.avg(pmax).alias("pmax_mean"), q.alias("_q")).select(
-        "pmax_mean", F.col("_q")[0].alias("pmax_p10"), F.col("_q")[1].alias("pmax_p50"), F.col("_q")[2].alias("pmax_p90"))
+    q = exact_quantiles(df, [pmax], [0.1, 0.5, 0.9])
+    return df.agg(F.avg(pmax).alias("pmax_mean")).withColumn("feature", F.lit(pmax)).join(q, "feature", "left").select(
+        "pmax_mean", F.col("q0").alias("pmax_p10"), F.col("q1").alias("pmax_p50"), F.col("q2").alias("pmax_p90"))
 
 
 # ---- E1-E3 ----
 
-def direction_hint(feature: Column, z: Column) -> Column:
-    """(feature, sign of z) -> hint text, from the fixed hint table; unknown feature -> null."""
-    hi = F.create_map(*[e for f, (h, _) in DIR_HINTS.items() for e in (F.lit(f), F.lit(h))])
-    lo = F.create_map(*[e for f, (_, l) in DIR_HINTS.items() for e in (F.lit(f), F.lit(l))])
+def direction_hint(feature: Column, z: Column, hints: dict[str, tuple[str, str]] = DIR_HINTS) -> Column:
+    """(feature, sign of z) -> hint text of the table `hints`; unknown feature -> null."""
+    hi = F.create_map(*[e for f, (h, _) in hints.items() for e in (F.lit(f), F.lit(h))])
+    lo = F.create_map(*[e for f, (_, l) in hints.items() for e in (F.lit(f), F.lit(l))])
     f = F.lower(feature)
     return F.when(z > 0, F.element_at(hi, f)).otherwise(F.element_at(lo, f))
 
 
 def cluster_top_features(df: DataFrame, label: str, features: list[str], parent: str | None = None,
-                         top_n: int = TOP_N) -> DataFrame:
+                         top_n: int = TOP_N, hints: dict[str, tuple[str, str]] = DIR_HINTS) -> DataFrame:
     """E1 (parent=None): z of each cluster mean against the overall mean and population sd; E2 (parent=mode):
     against the parent's mean and sd. +-inf / null z -> 0; top `top_n` by |z| per cluster (feature order breaks
     ties); direction and hint (P24)."""
@@ -203,7 +204,7 @@ def cluster_top_features(df: DataFrame, label: str, features: list[str], parent:
     out = top.select(*(F.col("_p").alias(parent),) if parent else (), "cluster_id", "cluster_size", "cluster_pct", "feature",
                      "z", F.abs("z").alias("abs_z"), F.when(F.col("z") > 0, F.lit("高")).otherwise(F.lit("低"))
                      .alias("direction_vs_overall"), "mean_cluster", "mean_overall", "std_overall",
-                     direction_hint(F.col("feature"), F.col("z")).alias("interpretation_hint"), "rank")
+                     direction_hint(F.col("feature"), F.col("z"), hints).alias("interpretation_hint"), "rank")
     return out
 
 

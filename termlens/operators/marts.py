@@ -35,15 +35,6 @@ att_absent_rate att_abnormal_rate zc_records zc_bjpm_best zc_bjpm_mean zc_zypm_b
 sch_cnt_term sch_amt_sum_term cet_score_max cet_level_max comp_cnt comp_cnt_term""".split()
 
 
-@dataclass(frozen=True)
-class MartOptions:
-    exact_median: bool = True   # False -> approx_percentile for very large groups
-
-
-def _median(c, opts: MartOptions) -> Column:
-    return F.median(c) if opts.exact_median else F.percentile_approx(c, 0.5, 10000)
-
-
 def _keyed(df: DataFrame, key_col: str, term: Column | None) -> DataFrame:
     cols = [normalize_null(key_col).alias("XH")]
     if term is not None:
@@ -51,7 +42,7 @@ def _keyed(df: DataFrame, key_col: str, term: Column | None) -> DataFrame:
     return df.select(*cols, *[c for c in df.columns if c != key_col])
 
 
-def score_features(grades: DataFrame, opts: MartOptions = MartOptions()) -> DataFrame:
+def score_features(grades: DataFrame) -> DataFrame:
     """A1 + A2: per (entity, period) course counts, mean, median, fail rate and two more means."""
     g = grades.select(normalize_null("XH").alias("XH"), term_from_code("ZXJXJHH").alias("TERM_KEY"),
                       to_number("KCCJ").alias("KCCJ"), to_number("JDCJ").alias("JDCJ"), to_number("BY1").alias("BY1"))
@@ -59,7 +50,7 @@ def score_features(grades: DataFrame, opts: MartOptions = MartOptions()) -> Data
     return g.groupBy(*KEYS).agg(
         F.count("KCCJ").alias("grade_course_cnt"),
         F.avg("KCCJ").alias("kccj_mean"),
-        _median("KCCJ", opts).alias("kccj_median"),
+        F.median("KCCJ").alias("kccj_median"),
         fail_rate("KCCJ").alias("kccj_fail_rate"),
         F.avg("JDCJ").alias("jdcj_mean"),
         F.avg("BY1").alias("by1_mean"),
@@ -164,13 +155,13 @@ def status_change_features(yd: DataFrame) -> DataFrame:
     return y.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("yd_cnt"), F.countDistinct("YDLBDM").alias("yd_type_nunique"))
 
 
-def homework_features(hw: DataFrame, opts: MartOptions = MartOptions()) -> DataFrame:
+def homework_features(hw: DataFrame) -> DataFrame:
     """Entity rows, ungraded mean, median of the fixed duration."""
     h = hw.select(normalize_null("CREATER_LOGIN_NAME").alias("XH"), to_number("IS_UNGRADED").alias("IS_UNGRADED"),
                   duration_fix("CREATER_TIME", "ANSWER_TIME", "ANSWER_DURATION_SEC").alias("DUR_FIXED"))
     return h.where(F.col("XH").isNotNull()).groupBy("XH").agg(
         F.count(F.lit(1)).alias("hw_submit_cnt"), F.avg("IS_UNGRADED").alias("hw_ungraded_rate"),
-        _median("DUR_FIXED", opts).alias("hw_duration_median"))
+        F.median("DUR_FIXED").alias("hw_duration_median"))
 
 
 def status_indicators(state) -> tuple[Column, Column, Column]:
@@ -189,17 +180,17 @@ def attendance_features(att: DataFrame) -> DataFrame:
         F.avg("a").alias("att_absent_rate"), F.avg("ab").alias("att_abnormal_rate"))
 
 
-def mart_blocks(t: Tables, opts: MartOptions = MartOptions()) -> dict[str, DataFrame]:
+def mart_blocks(t: Tables) -> dict[str, DataFrame]:
     zc_term, zc_ent = assessment_features(bindings.assessment(t))
     sch_ent, sch_term = award_features(bindings.awards(t))
     comp_ent, comp_term = contest_features(bindings.contests(t))
     return {
-        "grade": score_features(bindings.grades(t), opts),
+        "grade": score_features(bindings.grades(t)),
         "fit_term": fitness_term_features(bindings.fitness_term(t)),
         "fit_year": fitness_year_features(bindings.fitness_year(t)),
         "zc_term": zc_term, "yd": status_change_features(bindings.status_changes(t)),
         "sch_term": sch_term, "comp_term": comp_term,
-        "online": online_features(bindings.online(t)), "hw": homework_features(bindings.homework(t), opts),
+        "online": online_features(bindings.online(t)), "hw": homework_features(bindings.homework(t)),
         "att": attendance_features(bindings.signin(t)), "zc_entity": zc_ent, "sch_entity": sch_ent,
         "cet": exam_features(bindings.language_exam(t)), "comp_entity": comp_ent,
     }
@@ -219,21 +210,26 @@ def assemble_mart(blocks: dict[str, DataFrame]) -> DataFrame:
     return m.select(F.col("XH").alias("entity_id"), F.col("TERM_KEY").alias("period_key"), *MART_COLUMNS)
 
 
-def build_feature_mart(t: Tables, opts: MartOptions = MartOptions()) -> DataFrame:
-    return assemble_mart(mart_blocks(t, opts))
+def build_feature_mart(t: Tables) -> DataFrame:
+    return assemble_mart(mart_blocks(t))
 
 
 _MATERIALIZED: dict = {}
 
 
-def materialized_mart(t: Tables, opts: MartOptions = MartOptions()) -> DataFrame:
-    """The mart written once per (session, input folder) as a reliable checkpoint in the shared checkpoint folder
-    and reused by every later stage (the reference writes its mart once and all steps read that file). Survives
-    executor loss; never a local checkpoint."""
-    from termlens.session import cut_lineage
-    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir.rstrip("/"), opts)
+def materialized_mart(t: Tables) -> DataFrame:
+    """The mart written once per (session, input folder) as Parquet in the shared checkpoint folder and read by every later
+    stage (the reference writes its mart once and all steps read that file): survives executor loss, and readers prune
+    columns. A folder that changes under a running session needs `forget_marts()`."""
+    from termlens.session import stored
+    key = (t.spark.sparkContext.applicationId, id(t.spark), t.sf_dir.rstrip("/"))
     df = _MATERIALIZED.get(key)
     if df is None:
-        df = cut_lineage(build_feature_mart(t, opts))
+        df = stored(build_feature_mart(t), "mart")
         _MATERIALIZED[key] = df
     return df
+
+
+def forget_marts() -> None:
+    """Drop the remembered marts; the next query writes them again."""
+    _MATERIALIZED.clear()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions.nulls import canonical, to_number
+from termlens.operators.quantiles import quantile_values, wide_quantiles
 
 # Fixed values of the preparation rules.
 P_LOW, P_HIGH = 0.01, 0.99
@@ -26,8 +27,7 @@ HIGH_MISSING = 0.60
 
 
 def _pct_fit(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
-    row = df.agg(*[F.percentile(to_number(c), F.array(*[F.lit(q) for q in qs])).alias(c) for c in cols]).first()
-    return {c: (list(row[c]) if row[c] is not None else [None] * len(qs)) for c in cols}
+    return quantile_values(df, cols, qs)
 
 
 def _lit(v) -> Column:
@@ -37,8 +37,7 @@ def _lit(v) -> Column:
 # ---- X1: global median fill ----
 
 def median_fit(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.median(to_number(c)).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    return {c: q[0] for c, q in quantile_values(df, cols, [0.5]).items()}
 
 
 def median_impute(df: DataFrame, keys: list[str], cols: list[str], flags: bool = True) -> DataFrame:
@@ -88,14 +87,14 @@ def tiered_impute(df: DataFrame, entity: str, period: str, cols: list[str], only
                    *[F.coalesce(F.col(c), F.col(f"_em_{c}")).alias(c) for c in fill],
                    *[(F.col(c).isNull() & F.col(f"_em_{c}").isNotNull()).cast("int").alias(f"_u1_{c}") for c in fill])
     # tier 2: period medians of the tier-1 result
-    pm = w1.groupBy(period).agg(*[F.median(c).alias(f"_pm_{c}") for c in fill])
+    pm = wide_quantiles(w1, fill, 0.5, [period], "_pm_")
     w2 = w1.join(pm, w1[period].eqNullSafe(pm[period]), "left").drop(pm[period])
     w2 = w2.select(entity, period, *[c for c in cols if c not in fill], *[f"is_missing_{c}" for c in cols],
                    *[f"_u1_{c}" for c in fill],
                    *[F.coalesce(F.col(c), F.col(f"_pm_{c}")).alias(c) for c in fill],
                    *[(F.col(c).isNull() & F.col(f"_pm_{c}").isNotNull()).cast("int").alias(f"_u2_{c}") for c in fill])
     # tier 3: global median (one aggregate, inlined)
-    gm = w2.agg(*[F.median(c).alias(c) for c in fill]).first() if fill else {}
+    gm = median_fit(w2, fill)
     w3 = w2.select(entity, period, *[c for c in cols if c not in fill], *[f"is_missing_{c}" for c in cols],
                    *[f"_u1_{c}" for c in fill], *[f"_u2_{c}" for c in fill],
                    *[F.coalesce(F.col(c), _lit(gm[c] if gm[c] is not None else 0.0)).alias(c) for c in fill],
@@ -127,10 +126,9 @@ def partition_median(df: DataFrame, key: str, col: str, alias: str) -> DataFrame
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Keep the first row per key under a total order (min over a struct: one aggregate, no sort)."""
+    """Keep the first row per key under a total order of ascending columns (one aggregate, no sort)."""
     cols = [c for c in df.columns if c != key]
-    sk = [o.alias(f"_o{i}") for i, o in enumerate(order)]
-    agg = df.groupBy(key).agg(F.min(F.struct(*sk, *[F.col(c) for c in cols])).alias("_r"))
+    agg = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return agg.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 

@@ -1,8 +1,8 @@
 """Data-quality reports.
 
-Per-feature statistics are ONE wide aggregate over the mart (partial aggregation only, no data shuffle),
-turned into long form afterwards with `stack` on the single result row. Unpivoting the mart first would
-shuffle rows x features.
+Per-feature moments are ONE wide aggregate over the mart (one partial row per task is shuffled), turned into long form
+afterwards with `stack` on the single result row. Quantiles and distinct counts need the values: they are unpivoted and
+combined map-side by (feature, value) before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions.nulls import canonical, is_missing_value, to_number
+from termlens.operators.quantiles import exact_quantiles, quantile_values
+from termlens.operators.serving import safe_rel_change
 
 # Thresholds of the audit rules.
 HIGH_MISSING = 0.60
@@ -26,23 +28,18 @@ def _stack(row_df: DataFrame, features: list[str], fields: list[str], prefix_fmt
     return row_df.selectExpr(f"stack({len(features)}, {args}) AS (feature, {', '.join(fields)})")
 
 
-def feature_ranges(mart: DataFrame, features: list[str], exact: bool = True) -> DataFrame:
+def feature_ranges(mart: DataFrame, features: list[str]) -> DataFrame:
     """Per feature missing rate, zero rate (missing counts as zero, N8), min, p50, mean, p95, p99, max."""
     aggs = []
     for c in features:
         x = to_number(c)
-        pct = F.percentile(x, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))) if exact else \
-            F.percentile_approx(x, [0.5, 0.95, 0.99], 10000)
-        aggs += [F.avg(x.isNull().cast("double")).alias(f"missing_rate__{c}"),
-                 F.avg((F.coalesce(x, F.lit(0.0)) == 0).cast("double")).alias(f"zero_rate__{c}"),
-                 F.min(x).alias(f"min__{c}"), pct.alias(f"pct__{c}"), F.avg(x).alias(f"mean__{c}"),
-                 F.max(x).alias(f"max__{c}")]
-    wide = mart.agg(*aggs)
-    wide = wide.select(*[F.col(f"{k}__{c}").alias(f"{c}__{k}") for c in features
-                         for k in ("missing_rate", "zero_rate", "min", "mean", "max")],
-                       *[F.col(f"pct__{c}")[i].cast("double").alias(f"{c}__{n}") for c in features
-                         for i, n in enumerate(("p50", "p95", "p99"))])
-    return _stack(wide, features, ["missing_rate", "zero_rate", "min", "p50", "mean", "p95", "p99", "max"])
+        aggs += [F.avg(x.isNull().cast("double")).alias(f"{c}__missing_rate"),
+                 F.avg((F.coalesce(x, F.lit(0.0)) == 0).cast("double")).alias(f"{c}__zero_rate"),
+                 F.min(x).alias(f"{c}__min"), F.avg(x).alias(f"{c}__mean"), F.max(x).alias(f"{c}__max")]
+    flat = _stack(mart.agg(*aggs), features, ["missing_rate", "zero_rate", "min", "mean", "max"])
+    q = exact_quantiles(mart, features, [0.5, 0.95, 0.99]).select("feature", F.col("q0").alias("p50"), F.col("q1").alias("p95"),
+                                                                  F.col("q2").alias("p99"))
+    return flat.join(q, "feature", "left").select("feature", "missing_rate", "zero_rate", "min", "p50", "mean", "p95", "p99", "max")
 
 
 def missing_audit(mart: DataFrame, features: list[str]) -> DataFrame:
@@ -51,8 +48,7 @@ def missing_audit(mart: DataFrame, features: list[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_total")]
     for c in features:
         aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"n_missing__{c}"),
-                 F.count(to_number(c)).alias(f"n_parse__{c}"),
-                 F.countDistinct(canonical(c)).alias(f"n_unique__{c}")]
+                 F.count(to_number(c)).alias(f"n_parse__{c}")]
     wide = mart.agg(*aggs)
     sel = [F.col("n_total")]
     for c in features:
@@ -60,10 +56,13 @@ def missing_audit(mart: DataFrame, features: list[str]) -> DataFrame:
                 F.col(f"n_missing__{c}").alias(f"{c}__n_missing"),
                 (F.col(f"n_missing__{c}") / F.col("n_total")).alias(f"{c}__missing_rate"),
                 F.col(f"n_parse__{c}").alias(f"{c}__n_numeric_parseable"),
-                (F.col(f"n_parse__{c}") / F.col("n_total")).alias(f"{c}__numeric_parse_rate"),
-                F.col(f"n_unique__{c}").alias(f"{c}__n_unique_nonnull")]
-    return _stack(wide.select(*sel), features, ["dtype", "n_total", "n_missing", "missing_rate", "n_numeric_parseable",
-                                                "numeric_parse_rate", "n_unique_nonnull"])
+                (F.col(f"n_parse__{c}") / F.col("n_total")).alias(f"{c}__numeric_parse_rate")]
+    flat = _stack(wide.select(*sel), features, ["dtype", "n_total", "n_missing", "missing_rate", "n_numeric_parseable",
+                                                "numeric_parse_rate"])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), canonical(c).alias("value")) for c in features])
+    values = mart.select(F.explode(cells).alias("_r")).select("_r.feature", "_r.value").where("value IS NOT NULL").distinct()
+    n = values.groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique_nonnull"))
+    return flat.join(n, "feature", "left").withColumn("n_unique_nonnull", F.coalesce("n_unique_nonnull", F.lit(0).cast("long")))
 
 
 def audit_summary(audit: DataFrame, n_rows: Column | int, n_cols_total: int) -> DataFrame:
@@ -82,8 +81,13 @@ def whitelist_rule(audit: DataFrame, miss_max: float = WL_MISS_MAX, parse_min: f
                        & (F.col("numeric_parse_rate") >= parse_min) & (F.col("n_unique_nonnull") >= unique_min))
 
 
+def missing_rates(mart: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, missing_rate) in one plain aggregate."""
+    return _stack(mart.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"{c}__missing_rate") for c in features]), features, ["missing_rate"])
+
+
 def keep_low_missing(audit: DataFrame, max_missing: float = KEEP_MISSING_MAX) -> DataFrame:
-    """features with missing rate <= 0.6."""
+    """features with missing rate <= 0.6 (of an audit or of `missing_rates`)."""
     return audit.where(F.col("missing_rate") <= max_missing).select("feature", "missing_rate")
 
 
@@ -101,10 +105,10 @@ def missing_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def outlier_summary(scaled: DataFrame, features: list[str]) -> DataFrame:
     """Per feature p01, p99, share strictly above p99 and strictly below p01 (two passes: quantiles, rates)."""
-    q = scaled.agg(*[F.percentile(F.col(c), F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in features]).first()
+    q = quantile_values(scaled, features, [0.01, 0.99])
     aggs = []
     for c in features:
-        lo, hi = q[c] if q[c] is not None else (None, None)
+        lo, hi = q[c]
         x = F.col(c)
         aggs += [F.lit(lo).cast("double").alias(f"{c}__p01"), F.lit(hi).cast("double").alias(f"{c}__p99"),
                  F.avg(F.coalesce((x > F.lit(hi)).cast("double"), F.lit(0.0))).alias(f"{c}__hi_rate"),
@@ -112,24 +116,15 @@ def outlier_summary(scaled: DataFrame, features: list[str]) -> DataFrame:
     return _stack(scaled.agg(*aggs), features, ["p01", "p99", "hi_rate", "lo_rate"])
 
 
-def safe_rel_change(a: Column, b: Column, eps: float = 1e-12) -> Column:
-    """(b - a) / |a|, dividing by 1 when |a| <= eps."""
-    return (b - a) / F.when(F.abs(a) > eps, F.abs(a)).otherwise(F.lit(1.0))
-
-
 def _moments(df: DataFrame, features: list[str], tag: str) -> DataFrame:
     aggs = []
     for c in features:
         x = to_number(c)
         aggs += [F.count(x).alias(f"{c}__{tag}_n"), F.avg(x).alias(f"{c}__{tag}_mean"),
-                 F.stddev_pop(x).alias(f"{c}__{tag}_std"),
-                 F.percentile(x, F.array(F.lit(0.5), F.lit(0.9))).alias(f"{c}__{tag}_q")]
-    w = df.agg(*aggs)
-    sel = []
-    for c in features:
-        sel += [F.col(f"{c}__{tag}_n"), F.col(f"{c}__{tag}_mean"), F.col(f"{c}__{tag}_std"),
-                F.col(f"{c}__{tag}_q")[0].alias(f"{c}__{tag}_med"), F.col(f"{c}__{tag}_q")[1].alias(f"{c}__{tag}_p90")]
-    return _stack(w.select(*sel), features, [f"{tag}_n", f"{tag}_mean", f"{tag}_std", f"{tag}_med", f"{tag}_p90"])
+                 F.stddev_pop(x).alias(f"{c}__{tag}_std")]
+    flat = _stack(df.agg(*aggs), features, [f"{tag}_n", f"{tag}_mean", f"{tag}_std"])
+    q = exact_quantiles(df, features, [0.5, 0.9]).select("feature", F.col("q0").alias(f"{tag}_med"), F.col("q1").alias(f"{tag}_p90"))
+    return flat.join(q, "feature", "left")
 
 
 def impute_impact(before: DataFrame, after: DataFrame, features: list[str], alert: float = ALERT_SHIFT) -> DataFrame:

@@ -95,12 +95,14 @@ def name_search(df: DataFrame, name_col: str, needle: str) -> DataFrame:
     return df.where(F.lower(F.col(name_col)).contains(needle.lower()))
 
 
-def row_search(df: DataFrame, cols: list[str], needle: str, period: str | None, order: list[str], limit: int = 400) -> DataFrame:
-    """case-blind substring over the row as JSON, optional period filter, first `limit` by a total order."""
-    d = df.where(F.lower(F.to_json(F.struct(*cols))).contains(needle.lower()))
+def row_search(df: DataFrame, cols: list[str] | None, needle: str, period: str | None, order: list[str], limit: int | None = None) -> DataFrame:
+    """case-blind substring over the row as JSON (all columns unless `cols` says otherwise), optional period filter,
+    total order; `limit` rows if given."""
+    d = df.where(F.lower(F.to_json(F.struct(*(cols or df.columns)), {"ignoreNullFields": "false"})).contains(needle.lower()))
     if period:
         d = d.where(F.col("period_key") == period)
-    return d.orderBy(*order).limit(limit)
+    d = d.orderBy(*order)
+    return d if limit is None else d.limit(limit)
 
 
 def distinct_picklist(groups: DataFrame, group_col: str) -> DataFrame:
@@ -141,11 +143,11 @@ def risk_leaderboard(groups: DataFrame, group_col: str, order: str = "risk_desc"
     r = PR.unweighted_rollup(groups, group_col, PR.group_numeric_cols())
     risk = PR.risk_share()
     r = r.select(F.col(group_col).alias("group_name"), "n_records", risk.alias("risk"), PR.risk_level(risk).alias("risk_level"),
-                 "dim_academic_mean", "kccj_fail_rate_avg")
+                 "kccj_mean_avg", "kccj_fail_rate_avg")
     orders = {
         "risk_desc": [F.desc("risk")],
         "risk_asc": [F.asc("risk")],
-        "score_asc": [F.asc(F.coalesce(F.when(F.col("dim_academic_mean") != 0, F.col("dim_academic_mean")), F.lit(99.0)))],
+        "score_asc": [F.asc(F.coalesce(F.when(F.col("kccj_mean_avg") != 0, F.col("kccj_mean_avg")), F.lit(99.0)))],
         "fail_desc": [F.desc(F.coalesce(F.col("kccj_fail_rate_avg"), F.lit(0.0)))],
     }
     return r.orderBy(*orders[order], F.asc("group_name")).limit(limit)

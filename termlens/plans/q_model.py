@@ -12,6 +12,7 @@ from termlens.operators import prep as PP
 from termlens.operators.marts import MART_COLUMNS
 from termlens.operators.profiles import soft_labels
 from termlens.plans import sql_exprs as X
+from termlens.operators.quantiles import exact_quantiles
 from termlens.plans.registry import query
 from termlens.plans.sql_bindings import CTES
 from termlens.sources.tables import Tables
@@ -155,9 +156,9 @@ def q_pmax_quantiles(spark, sf_dir):
 
 # ---- E1-E3, P24 ----
 
-def _hint_sql(f: str, z: str) -> str:
-    hi = " ".join(f"WHEN '{k}' THEN '{h}'" for k, (h, _) in C.DIR_HINTS.items())
-    lo = " ".join(f"WHEN '{k}' THEN '{l}'" for k, (_, l) in C.DIR_HINTS.items())
+def _hint_sql(f: str, z: str, hints: dict) -> str:
+    hi = " ".join(f"WHEN '{k}' THEN '{h}'" for k, (h, _) in hints.items())
+    lo = " ".join(f"WHEN '{k}' THEN '{l}'" for k, (_, l) in hints.items())
     return f"CASE WHEN {z} > 0 THEN (CASE lower({f}) {hi} END) ELSE (CASE lower({f}) {lo} END) END"
 
 
@@ -180,7 +181,7 @@ z2 AS (SELECT *, coalesce(CASE WHEN isnan((mean_cluster - mean_overall) / std_ov
                                ELSE (mean_cluster - mean_overall) / std_overall END, 0.0) AS z FROM z)
 SELECT {f'_p AS {parent}, ' if parent else ''}cluster_id, cluster_size, cluster_pct, feature, z, abs(z) AS abs_z,
        CASE WHEN z > 0 THEN '高' ELSE '低' END AS direction_vs_overall, mean_cluster, mean_overall, std_overall,
-       {_hint_sql('feature', 'z')} AS interpretation_hint, rank
+       {_hint_sql('feature', 'z', C.SUBTYPE_HINTS if parent else C.DIR_HINTS)} AS interpretation_hint, rank
 FROM (SELECT *, row_number() OVER (PARTITION BY _p, cluster_id ORDER BY round_even(abs(z), 9) DESC, pos) AS rank FROM z2) WHERE rank <= 10"""
 
 
@@ -190,7 +191,7 @@ def _top(spark, sf_dir, label, parent=None):
     mart = materialized_mart(t)
     from termlens.operators.profiles import scored_mart
     df = scored_mart(mart, carry=FEATS)
-    return CM.cluster_top_features(df, label, FEATS, parent=parent)
+    return CM.cluster_top_features(df, label, FEATS, parent=parent, hints=C.SUBTYPE_HINTS if parent else C.DIR_HINTS)
 
 
 @query("cluster_top_features", _top_sql("mode_id", None))
@@ -274,7 +275,8 @@ SELECT metric, baseline, alt, alt - baseline AS delta,
        CASE {' '.join(f"WHEN metric = '{k}' THEN {'true' if v else 'false'}" for k, v in HIGHER_BETTER.items())} END AS higher_is_better,
        CASE WHEN ({' OR '.join(f"metric = '{k}'" for k, v in HIGHER_BETTER.items() if v)}) THEN alt - baseline > 0
             ELSE alt - baseline < 0 END AS improved
-FROM (PIVOT ({_SCEN_SQL}) ON scenario USING first(value) GROUP BY metric)""")
+FROM (SELECT metric, max(value) FILTER (WHERE scenario = 'baseline') AS baseline, max(value) FILTER (WHERE scenario = 'alt') AS alt
+      FROM ({_SCEN_SQL}) GROUP BY metric)""")
 def q_scenario_compare(spark, sf_dir):
     long = q_scenario_metrics(spark, sf_dir)
     wide = long.groupBy("metric").pivot("scenario", ["baseline", "alt"]).agg(F.first("value"))
@@ -295,7 +297,7 @@ def _screen_features(spark, sf_dir):
     from termlens.operators import quality as QL
     from termlens.operators.marts import materialized_mart
     mart = materialized_mart(Tables(spark, sf_dir))
-    keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_audit(mart, FEATS)).collect()]
+    keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_rates(mart, FEATS)).collect()]
     return PP.zscore_matrix(mart, KEYS, keep), keep
 
 
@@ -409,8 +411,8 @@ SELECT cluster_id, feature, avg(value) AS mean, median(value) AS median, count(v
 
 @query("cluster_profile_stats", _stats_sql())
 def q_cluster_profile_stats(spark, sf_dir):
-    """Per cluster x feature mean, median and non-null count: one grouped wide aggregate (k rows), then
-    long form by `stack` — the rows are never unpivoted before aggregation."""
+    """Per cluster x feature mean, non-null count (one grouped wide aggregate, k rows, then `stack`) and the exact
+    median (distributed)."""
     from termlens.operators.marts import materialized_mart
     from termlens.operators.profiles import scored_mart
     mart = materialized_mart(Tables(spark, sf_dir))
@@ -418,10 +420,12 @@ def q_cluster_profile_stats(spark, sf_dir):
     aggs = []
     for c in FEATS:
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"{c}__mean"), F.median(x).alias(f"{c}__median"), F.count(x).alias(f"{c}__count")]
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.count(x).alias(f"{c}__count")]
     wide = df.groupBy(F.col("mode_id").alias("cluster_id")).agg(*aggs)
-    args = ", ".join(f"'{c}', `{c}__mean`, `{c}__median`, `{c}__count`" for c in FEATS)
-    return wide.selectExpr("cluster_id", f"stack({len(FEATS)}, {args}) AS (feature, mean, median, count)")
+    args = ", ".join(f"'{c}', `{c}__mean`, `{c}__count`" for c in FEATS)
+    long = wide.selectExpr("cluster_id", f"stack({len(FEATS)}, {args}) AS (feature, mean, count)")
+    med = exact_quantiles(df.withColumnRenamed("mode_id", "cluster_id"), FEATS, [0.5], ["cluster_id"]).withColumnRenamed("q0", "median")
+    return long.join(med, ["cluster_id", "feature"], "left").select("cluster_id", "feature", "mean", "median", "count")
 
 
 @query("top_n_features", f"SELECT cluster_id, rank, feature, abs_z FROM ({_top_sql('mode_id', None)})")

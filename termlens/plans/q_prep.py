@@ -75,12 +75,12 @@ def q_whitelist_rule(spark, sf_dir):
 
 @query("keep_low_missing", f"SELECT feature, missing_rate FROM ({_AUDIT}) WHERE missing_rate <= 0.6")
 def q_keep_low_missing(spark, sf_dir):
-    return QL.keep_low_missing(QL.missing_audit(_mart(spark, sf_dir), FEATS))
+    return QL.keep_low_missing(QL.missing_rates(_mart(spark, sf_dir), FEATS))
 
 
 @query("top_missing_features", f"SELECT feature, missing_rate FROM ({_AUDIT}) ORDER BY missing_rate DESC, feature LIMIT 20")
 def q_top_missing(spark, sf_dir):
-    a = QL.missing_audit(_mart(spark, sf_dir), FEATS)
+    a = QL.missing_rates(_mart(spark, sf_dir), FEATS)
     return a.orderBy(F.desc("missing_rate"), "feature").limit(20).select("feature", "missing_rate")
 
 
@@ -329,7 +329,7 @@ def q_first_per_key(spark, sf_dir):
 def _screen(spark, sf_dir):
     """Screening features: <= 60 % missing (F7), median-filled and z-scaled (X1 + X14)."""
     m = _mart(spark, sf_dir)
-    keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_audit(m, FEATS)).collect()]
+    keep = [r["feature"] for r in QL.keep_low_missing(QL.missing_rates(m, FEATS)).collect()]
     return PP.zscore_matrix(m, KEYS, keep), keep
 
 

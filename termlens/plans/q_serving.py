@@ -275,12 +275,26 @@ def q_risk_level(spark, sf_dir):
     return r.select(GCOL, PR.risk_share().alias("risk"), PR.risk_level(PR.risk_share()).alias("risk_level"))
 
 
-@query("risk_leaderboard", f"""
+_BOARD_ORDERS = {
+    "risk_desc": ("risk_leaderboard", "risk DESC"),
+    "risk_asc": ("risk_leaderboard_asc", "risk ASC"),
+    "score_asc": ("risk_leaderboard_score", "CASE WHEN kccj_mean_avg IS NULL OR kccj_mean_avg = 0 THEN 99 ELSE kccj_mean_avg END ASC"),
+    "fail_desc": ("risk_leaderboard_fail", "coalesce(kccj_fail_rate_avg, 0) DESC"),
+}
+
+
+def _board(order: str, name: str, by: str):
+    @query(name, f"""
 SELECT {GCOL} AS group_name, n_records, {X.risk_sql()} AS risk, {X.risk_level_sql(X.risk_sql())} AS risk_level,
-       dim_academic_mean, kccj_fail_rate_avg
-FROM rollup_{LEVEL} ORDER BY risk DESC, group_name ASC LIMIT 100""")
-def q_risk_leaderboard(spark, sf_dir):
-    return SV.risk_leaderboard(_groups(spark, sf_dir), GCOL, order="risk_desc", limit=100)
+       kccj_mean_avg, kccj_fail_rate_avg
+FROM rollup_{LEVEL} ORDER BY {by}, group_name ASC LIMIT 100""")
+    def q(spark, sf_dir):
+        return SV.risk_leaderboard(_groups(spark, sf_dir), GCOL, order=order, limit=100)
+    return q
+
+
+for _order, (_name, _by) in _BOARD_ORDERS.items():
+    _board(_order, _name, _by)
 
 
 @query("risk_bucket_counts", f"""
@@ -393,12 +407,11 @@ def q_period_series(spark, sf_dir):
 
 
 @query("row_search", f"""
-SELECT {GCOL}, period_key, n_records FROM grp_{LEVEL}
-WHERE contains(lower(to_json(struct_pack({GCOL}, period_key, n_records, dominant_mode_name))), '{SEARCH}')
-  AND period_key = '{PERIOD}' ORDER BY {GCOL}, period_key LIMIT 400""")
+SELECT {GCOL}, period_key, n_records FROM grp_{LEVEL} g
+WHERE contains(lower(CAST(to_json(g) AS VARCHAR)), '{SEARCH}') AND period_key = '{PERIOD}'""")
 def q_row_search(spark, sf_dir):
-    return SV.row_search(_groups(spark, sf_dir), [GCOL, "period_key", "n_records", "dominant_mode_name"], SEARCH,
-                         PERIOD, order=[GCOL, "period_key"]).select(GCOL, "period_key", "n_records")
+    return SV.row_search(_groups(spark, sf_dir), None, SEARCH, PERIOD, order=[GCOL, "period_key"]).select(
+        GCOL, "period_key", "n_records")
 
 
 @query("class_rows_nonempty", "SELECT count(*) AS n FROM class_votes")
@@ -428,12 +441,12 @@ def q_mode_cards(spark, sf_dir):
 
 
 @query("risk_score_scatter", f"""
-SELECT {GCOL}, round_even(dim_academic_mean, 1) AS score, round_even(({X.risk_sql()}) * 100, 1) AS risk_pct,
+SELECT {GCOL}, round_even(coalesce(kccj_mean_avg, 0), 1) AS score, round_even(({X.risk_sql()}) * 100, 1) AS risk_pct,
        {X.risk_level_sql(X.risk_sql())} AS bucket
 FROM rollup_{LEVEL}""")
 def q_risk_score_scatter(spark, sf_dir):
     r = PR.unweighted_rollup(_groups(spark, sf_dir), GCOL, PR.group_numeric_cols())
-    return r.select(GCOL, np_round("dim_academic_mean", 1).alias("score"), np_round(PR.risk_share() * 100, 1).alias("risk_pct"),
+    return r.select(GCOL, np_round(F.coalesce(F.col("kccj_mean_avg"), F.lit(0.0)), 1).alias("score"), np_round(PR.risk_share() * 100, 1).alias("risk_pct"),
                     PR.risk_level(PR.risk_share()).alias("bucket"))
 
 

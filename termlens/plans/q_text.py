@@ -327,13 +327,13 @@ def q_k_curves(spark, sf_dir):
 @query("projection_points")
 def q_projection_points(spark, sf_dir):
     """2-D projection of the z-scaled dimension scores joined to the soft labels, opacity .15 + .85 p_max,
-    on a seeded sample of 8,000 rows (the figure's sample; the projection itself uses every row)."""
+    one point per row."""
     from termlens.operators import prep as PP
     s = PR.soft_labels(_t(spark, sf_dir)).cache()
     z = PP.zscore_matrix(s, KEYS, C.DIM_COLS)
     pts = PP.pca_project(z, KEYS, C.DIM_COLS, 2).join(s.select(*KEYS, "mode_id", "mode_pmax"), KEYS)
     pts = pts.select(*KEYS, "pc1", "pc2", "mode_id", (0.15 + 0.85 * F.col("mode_pmax")).alias("opacity"))
-    return PP.sample_rows(pts, KEYS, 8000)
+    return pts
 
 
 ENTITY = "7"
@@ -344,8 +344,7 @@ SELECT pos, metric, value FROM (
   SELECT row_number() OVER () - 1 AS pos, metric, value FROM (
     SELECT * FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ['mode_id', 'mode_pmax', 'mode_margin', 'mode_entropy', 'subtype_id', *C.KEY_METRICS])}
                    FROM profiles WHERE entity_id = '{ENTITY}' ORDER BY period_key DESC LIMIT 1)
-    UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(['mode_id', 'mode_pmax', 'mode_margin', 'mode_entropy', 'subtype_id', *C.KEY_METRICS])}))))
-WHERE pos < 60""")
+    UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(['mode_id', 'mode_pmax', 'mode_margin', 'mode_entropy', 'subtype_id', *C.KEY_METRICS])}))))""")
 def q_row_as_pairs(spark, sf_dir):
     from termlens.operators.serving import latest_period
     p = PR.entity_profiles(_t(spark, sf_dir)).where(F.col("entity_id") == ENTITY)

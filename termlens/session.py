@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared `spark.checkpoint.dir`; only when unset (tests, local runs) pick a scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="termlens-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -56,3 +59,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet under the shared checkpoint folder and read it back (lineage cut, columns pruned later)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/termlens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
