@@ -206,12 +206,18 @@ def zscore_matrix(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 # ---- X9: pairwise-complete Spearman ----
 
-def average_rank(long: DataFrame, group_cols: list[str], value: str = "value", buckets: int = 256) -> DataFrame:
+def average_rank(long: DataFrame, group_cols: list[str], value: str = "value", buckets: int | None = None) -> DataFrame:
     """Average rank (ties share the mean position) of `value` within each group, fully distributed:
     distinct values are counted, cut into ~equal buckets by approximate quantiles, bucket totals are
     prefix-summed per group (<= `buckets` rows per group) and values prefix-summed inside their bucket.
     Returns (group_cols..., value, rank)."""
     vc = long.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_c"))
+    if buckets is None:                       # about 50,000 distinct values a bucket
+        most = vc.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = max(1, min(4096, -(-most // 50_000)))
+    if buckets == 1:
+        wv = Window.partitionBy(*group_cols).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return vc.select(*group_cols, value, (F.coalesce(F.sum("_c").over(wv), F.lit(0)) + (F.col("_c") + 1) / 2.0).alias("rank"))
     qs = [i / buckets for i in range(1, buckets)]
     bounds = vc.groupBy(*group_cols).agg(F.percentile_approx(value, qs, 10000).alias("_b"))
     vb = vc.join(bounds, group_cols).select(*group_cols, value, "_c",
@@ -226,24 +232,60 @@ def average_rank(long: DataFrame, group_cols: list[str], value: str = "value", b
     return r
 
 
-def _null_signature(df: DataFrame, keys: list[str], cols: list[str]) -> dict[str, tuple]:
-    """Columns with equal null masks share a signature (count and xor-free hash sum of the null rows' keys)."""
-    h = F.xxhash64(*keys)
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols],
-                 *[F.sum(F.when(F.col(c).isNull(), h % 1000003)).alias(f"h_{c}") for c in cols]).first()
-    return {c: (row[f"n_{c}"], row[f"h_{c}"]) for c in cols}
+def _equal_masks(df: DataFrame, masks: dict) -> dict:
+    """{mask id: first mask id that selects the same rows}, compared exactly: rows where two masks differ are counted for
+    every pair in one aggregate."""
+    ids = list(masks)
+    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[:n]]
+    if not pairs:
+        return {i: i for i in ids}
+    row = df.agg(*[F.count_if(masks[i] != masks[j]).alias(f"d{n}") for n, (i, j) in enumerate(pairs)]).first()
+    first = {i: i for i in ids}
+    for n, (i, j) in enumerate(pairs):
+        if row[f"d{n}"] == 0:
+            first[i] = min(first[i], first[j], key=ids.index)
+    return first
+
+
+def _gram_batches(batches, sizes: dict[int, int], rows: dict[int, int]):
+    """Sums of products of centred ranks per subset, one block a partition. An input row is one subset row with its
+    (position, rank) list; the mean rank of a subset of n rows is (n + 1) / 2."""
+    import numpy as np
+    import pyarrow as pa
+    gram = {s: np.zeros((k, k)) for s, k in sizes.items()}
+    seen = set()
+    for b in batches:
+        subset = b.column("s").to_numpy()
+        items = b.column("items")
+        flat = items.flatten()
+        at, rank = flat.field("pos").to_numpy(zero_copy_only=False), flat.field("rank").to_numpy(zero_copy_only=False)
+        n = np.asarray(items.value_lengths().to_numpy(zero_copy_only=False))
+        owner = np.repeat(np.arange(len(subset)), n)
+        for s in np.unique(subset):
+            seen.add(int(s))
+            mine = np.flatnonzero(subset == s)
+            local = np.full(len(subset), -1)
+            local[mine] = np.arange(len(mine))
+            x = np.zeros((len(mine), sizes[int(s)]))
+            use = local[owner] >= 0
+            x[local[owner[use]], at[use]] = rank[use] - (rows[int(s)] + 1) / 2
+            gram[int(s)] += x.T @ x
+    for s in seen:
+        i, j = np.triu_indices(sizes[s])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), s, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+                                          pa.array(gram[s][i, j])], names=["s", "i", "j", "g"])
 
 
 def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs: int = MIN_PAIRS,
-                    buckets: int = 256) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """X9 (long form: a, b, n, corr): pairwise-complete Spearman with average ranks; null when < 500 pairs.
-    Columns are grouped by null pattern; every pattern pair is ranked once on its complete rows, so work is
-    proportional to the pattern pairs, not to the p^2 column pairs."""
+    Columns are grouped by null pattern; every pattern pair is ranked once on its complete rows; all its column pairs come
+    from one matrix product of the centred ranks."""
     x = df.select(*keys, *[canonical(to_number(c)).alias(c) for c in cols])
-    sig = _null_signature(x, keys, cols)
-    pats: dict[tuple, list[str]] = {}
+    same = _equal_masks(x, {c: F.col(c).isNotNull() for c in cols})
+    pats: dict[str, list[str]] = {}
     for c in cols:
-        pats.setdefault(sig[c], []).append(c)
+        pats.setdefault(same[c], []).append(c)
     plist = list(pats.values())
     groups = []
     for i in range(len(plist)):
@@ -256,13 +298,9 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
         for c in {plist[i][0], plist[j][0]}:
             m = m & F.col(c).isNotNull()
         masks[gid] = m
-    # pattern groups whose complete-row subsets coincide (same count and key-hash sum) share one ranking
-    h = F.xxhash64(*keys) % 1000003
-    srow = x.agg(*[F.count_if(masks[g]).alias(f"n{g}") for g in masks],
-                 *[F.sum(F.when(masks[g], h)).alias(f"h{g}") for g in masks]).first()
-    first_gid, sid_of = {}, {}
-    for g in masks:
-        sid_of[g] = first_gid.setdefault((srow[f"n{g}"], srow[f"h{g}"]), g)
+    # pattern groups whose complete-row subsets coincide share one ranking
+    srow = x.agg(*[F.count_if(masks[g]).alias(f"n{g}") for g in masks]).first()
+    sid_of = _equal_masks(x, {g: masks[g] for g in masks if (srow[f"n{g}"] or 0) >= min_pairs})
     # a group with fewer complete rows than min_pairs can only give null correlations: its pair count is already
     # known from this pass, so it is never ranked
     live = [gid for gid in range(len(groups)) if (srow[f"n{gid}"] or 0) >= min_pairs]
@@ -287,25 +325,25 @@ def spearman_matrix(df: DataFrame, keys: list[str], cols: list[str], min_pairs:
         .select(*keys, "kv.s", "kv.feature", "kv.value")
     ranks = average_rank(long_s.select("s", "feature", "value"), ["s", "feature"], "value", buckets)
     ranked_s = long_s.join(ranks, ["s", "feature", "value"])
-    # fan shared ranks out to the groups using them; side 0 / 1 = first / second pattern, pos = order in the group
-    gfeat = spark.createDataFrame([(gid, sid_of[gid], c, 0 if (groups[gid][0] == groups[gid][1] or c in plist[groups[gid][0]])
-                                    else 1, p, groups[gid][0] == groups[gid][1])
-                                   for gid in live for p, c in enumerate(groups[gid][2])],
-                                  "g int, s int, feature string, side int, pos int, diag boolean")
-    ranked = ranked_s.join(F.broadcast(gfeat), ["s", "feature"])      # <= groups x p rows: bounded by p^2
-    ra = ranked.select(*keys, "g", F.col("feature").alias("a"), F.col("rank").alias("ra"), F.col("side").alias("sa"),
-                       F.col("pos").alias("pa"), "diag")
-    rb = ranked.select(*keys, "g", F.col("feature").alias("b"), F.col("rank").alias("rb"), F.col("side").alias("sb"),
-                       F.col("pos").alias("pb"))
-    # only the owned feature pairs of a row are formed (first pattern x second pattern, or a < b on the
-    # diagonal): at most p(p-1)/2 per row, aggregated map-side right after the join
-    cond = [ra[k] == rb[k] for k in keys + ["g"]]
-    pair_ok = (F.col("diag") & (F.col("pa") < F.col("pb"))) | (~F.col("diag") & (F.col("sa") == 0) & (F.col("sb") == 1))
-    prs = ra.join(rb, cond).where(pair_ok).select("a", "b", "ra", "rb")
-    # Pearson of the ranks from stable moments; zero variance -> null (try_divide: ANSI-safe)
-    stats = prs.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("corr"))
+    # one row per (subset, key) again, then sums of products of centred ranks: p x p numbers a subset and partition
+    feats: dict[int, list[str]] = {}
+    for sd, c in need:
+        feats.setdefault(sd, []).append(c)
+    where = spark.createDataFrame([(sd, c, k) for sd, cs in feats.items() for k, c in enumerate(cs)], "s int, feature string, pos int")
+    rows = ranked_s.join(F.broadcast(where), ["s", "feature"]).groupBy(*keys, "s").agg(       # subsets x p rows: bounded
+        F.collect_list(F.struct("pos", "rank")).alias("items")).select("s", "items")
+    sizes, n_of = {sd: len(cs) for sd, cs in feats.items()}, {sd: int(srow[f"n{sd}"]) for sd in feats}
+    gram = rows.mapInArrow(lambda it: _gram_batches(it, sizes, n_of), "s int, i int, j int, g double").groupBy("s", "i", "j").agg(
+        F.sum("g").alias("g"))
+    got = {(r["s"], r["i"], r["j"]): r["g"] for r in gram.collect()}                            # at most subsets x p^2 numbers
+    found = []
+    for gid, a, b, known in pair_rows:
+        if known is None:
+            sd = sid_of[gid]
+            i, j = sorted((feats[sd].index(a), feats[sd].index(b)))
+            spread = got[sd, i, i] * got[sd, j, j]
+            found.append((a, b, n_of[sd], got[sd, i, j] / spread ** 0.5 if spread > 0 else None))
+    stats = spark.createDataFrame(found, "a string, b string, n long, corr double")
     res = owned.join(stats, ["a", "b"], "left").select(
         "a", "b", F.coalesce(F.col("n"), F.col("n_known"), F.lit(0)).alias("n"), "corr")
     return _orient(res, pos, min_pairs)
