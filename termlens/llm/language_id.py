@@ -148,8 +148,7 @@ class Judge:
 
     def __init__(self, models: dict[tuple[str, str], np.ndarray]):
         self.pairs = {lv: [p.split("|") for v, p in models if v == lv] for lv in ("family", "lang")}
-        self.w = {lv: np.array([w for (v, _), w in models.items() if v == lv], dtype=np.float32).reshape(len(self.pairs[lv]), -1).T
-                  for lv in ("family", "lang")}
+        self.w = {lv: np.array([w for (v, _), w in models.items() if v == lv], dtype=np.float32).T for lv in ("family", "lang")}
         self.members: dict[str, list[str]] = {}
         for x in sorted(p for lv, p in models if lv == "learned"):
             self.members.setdefault(family_of(x), []).append(x)

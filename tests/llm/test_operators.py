@@ -331,7 +331,7 @@ def test_packing_plan_holds_every_length_and_is_near_the_bound():
 def test_packing_pieces_join_to_the_same_ids():
     from tokenizers import Tokenizer
     tok, enc = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
-    texts = ["", " ", "a  b", "a \n b", " lead", "trail ", "x<|endoftext|> y <|endoftext|>", "tab\t x  y", "a　 b", "don't  stop 12 3.4\r\n ok", "é ü \U0001F600 z"]
+    texts = ["", " ", "a  b", "a \n b", " lead", "trail ", "x<|endoftext|> y <|endoftext|>", "tab\t x  y", "a　 b", "don't  stop 12 3.4\r\n ok", "a, b.\nC d;e f-g h\n\ni j,\n k l,ñ m²,3", "é ü \U0001F600 z"]
     for t, got in zip(texts, enc.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
