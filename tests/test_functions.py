@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termlens.functions import keys as K
 from termlens.functions import text as TX
-from termlens.functions.nulls import mean_of_rounded, np_round, to_number
+from termlens.functions.nulls import is_missing_value, mean_of_rounded, normalize_null, np_round, to_number
 from termlens.operators import profiles as PR
 from termlens.operators import scores as S
 
@@ -107,9 +107,45 @@ def test_mask_field_names(spark):
 
 
 def test_strip_markup(spark):
-    got = _one(spark, TX.strip_markup("t"), [("**重点** 3*5\r\n---\n总览解读：内容 1. 第一 2. 第二",)], "t string")
-    assert "**" not in got[0] and "3*5" in got[0] and "\r" not in got[0]
-    assert "总览解读：\n内容" in got[0] and "\n2. 第二" in got[0]
+    rows = [("**重点** 3*5\r\n---\n总览解读：内容 1. 第一 2. 第二",), ("建议：多读书",), ("前文 *强调* 一、甲 二、乙。 👉 丙",), ("a --- b",), ("",), (None,)]
+    got = _one(spark, TX.strip_markup("t"), rows, "t string")
+    assert got == ["重点 3*5\n\n总览解读：\n内容\n1. 第一\n2. 第二", "建议：\n多读书", "前文 强调\n\n一、甲\n\n二、乙。\n👉 丙", "a\n\nb", "", ""]
+
+
+def test_white_space_is_trimmed_on_both_ends(spark):
+    rows = [("\tnan\n",), ("\t",), ("\u3000x y\u00a0",), (" NaN ",), (None,)]
+    assert _one(spark, normalize_null("t"), rows, "t string") == [None, None, "x y", None, None]
+    assert _one(spark, is_missing_value("t"), rows, "t string") == [True, True, False, True, True]
+    assert _one(spark, K.normalize_id("t"), [("\t12.0\n",), ('"\tpj0 "',)], "t string") == ["12", "pj0"]
+
+
+def test_exact_quantiles_equal_percentile(spark, monkeypatch):
+    from termlens.operators import quantiles as Q
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 911) / 3).alias("a"),
+                                  F.when(F.col("id") % 3 == 0, F.lit(5.0)).alias("b"), F.lit(None).cast("double").alias("c"))
+    qs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for size in (Q.BUCKET_VALUES, 20):                 # one bucket, many buckets
+        monkeypatch.setattr(Q, "BUCKET_VALUES", size)
+        got = {(r["g"], r["feature"]): [r[f"q{i}"] for i in range(len(qs))] for r in Q.exact_quantiles(df, ["a", "b", "c"], qs, ["g"]).collect()}
+        for r in df.groupBy("g").agg(F.percentile("a", F.array(*map(F.lit, qs))).alias("a"), F.percentile("b", F.array(*map(F.lit, qs))).alias("b")).collect():
+            for c in "ab":
+                want = r[c]
+                assert (got.get((r["g"], c)) is None) == (want is None)
+                assert want is None or all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(got[r["g"], c], want))
+        assert Q.quantile_values(df, ["c"], [0.5]) == {"c": [None]}
+
+
+def test_optimal_assignment_of_any_size():
+    import itertools
+    import random
+    from termlens.operators.cluster import optimal_assignment
+    rnd = random.Random(4)
+    for k in (1, 2, 5, 6):
+        c = [[rnd.random() for _ in range(k)] for _ in range(k)]
+        a = optimal_assignment(c)
+        assert sorted(a) == list(range(k))
+        assert math.isclose(sum(c[i][a[i]] for i in range(k)), min(sum(c[i][p[i]] for i in range(k)) for p in itertools.permutations(range(k))))
+    assert optimal_assignment([[0 if (i + 5) % 20 == j else 1 for j in range(20)] for i in range(20)]) == [(i + 5) % 20 for i in range(20)]
 
 
 def test_classify_intent_priority(spark):
