@@ -87,8 +87,8 @@ def tiered_impute(df: DataFrame, entity: str, period: str, cols: list[str], only
                    *[F.coalesce(F.col(c), F.col(f"_em_{c}")).alias(c) for c in fill],
                    *[(F.col(c).isNull() & F.col(f"_em_{c}").isNotNull()).cast("int").alias(f"_u1_{c}") for c in fill])
     # tier 2: period medians of the tier-1 result
-    pm = wide_quantiles(w1, fill, 0.5, [period], "_pm_")
-    w2 = w1.join(pm, w1[period].eqNullSafe(pm[period]), "left").drop(pm[period])
+    pm = wide_quantiles(w1, fill, 0.5, [period], "_pm_").withColumnRenamed(period, "_pp")
+    w2 = w1.join(pm, F.col(period).eqNullSafe(F.col("_pp")), "left").drop("_pp")
     w2 = w2.select(entity, period, *[c for c in cols if c not in fill], *[f"is_missing_{c}" for c in cols],
                    *[f"_u1_{c}" for c in fill],
                    *[F.coalesce(F.col(c), F.col(f"_pm_{c}")).alias(c) for c in fill],

@@ -25,16 +25,14 @@ def window_features(events: DataFrame, width: str = "1 day") -> DataFrame:
     return g.select("entity_id", F.col("w.start").alias("window_start"), "events", "present_rate", "ungraded_rate", "value_sum")
 
 
-def stream_window_features(spark: SparkSession, path: str, width: str = "1 day", watermark: str = "1 day",
-                           checkpoint: str | None = None, query_name: str = "event_windows", glob: str | None = None):
+def stream_window_features(spark: SparkSession, path: str, sink: str, checkpoint: str, width: str = "1 day",
+                           watermark: str = "1 day", query_name: str = "event_windows", glob: str | None = None):
     """Start a streaming query over Parquet event files in directory `path` (optionally filtered by `glob`; append mode: a window is emitted once the
-    watermark passes its end). Returns the StreamingQuery writing to an in-memory table `query_name`."""
+    watermark passes its end). Returns the StreamingQuery; windows are appended as Parquet files to the folder `sink`."""
     r = spark.readStream.schema(EVENT_SCHEMA)
     if glob:
         r = r.option("pathGlobFilter", glob)
     src = r.parquet(path)
     agg = window_features(src.withWatermark("ts", watermark), width)
-    w = agg.writeStream.outputMode("append").format("memory").queryName(query_name)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    return w.start()
+    w = agg.writeStream.outputMode("append").format("parquet").queryName(query_name)
+    return w.option("path", sink).option("checkpointLocation", checkpoint).start()

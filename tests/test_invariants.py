@@ -133,11 +133,11 @@ def test_gmm_recovers_separated_mixture_and_bic(spark):
 def test_streaming_windows_equal_batch(spark, tmp_path):
     path = f"{SF_SMALL}/events.parquet"
     ck = str(tmp_path / "ck")
-    q = EV.stream_window_features(spark, SF_SMALL, "1 day", "1 day", checkpoint=ck, query_name="ev_win_test",
-                                  glob="events.parquet")
+    sink = str(tmp_path / "windows")
+    q = EV.stream_window_features(spark, SF_SMALL, sink, ck, "1 day", "1 day", query_name="ev_win_test", glob="events.parquet")
     q.processAllAvailable()
     q.stop()
-    got = spark.sql("SELECT * FROM ev_win_test")
+    got = spark.read.parquet(sink)
     want = EV.window_features(spark.read.parquet(path), "1 day")
     # append mode emits windows closed by the watermark: every emitted window equals its batch value
     j = got.join(want, ["entity_id", "window_start"])
