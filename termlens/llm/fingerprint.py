@@ -83,7 +83,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def succession(rows: DataFrame) -> DataFrame:
-    """k1, k2, n_chars, rank, and the next row's n1, n2, next_rank: order by descending doc_id, the last is followed by the first.
+    """doc_id, k1, k2, n_chars, rank, and the next row's n1, n2, next_rank: order by descending doc_id, the last is followed by the first.
 
     Ranges of ids are ranked on their own and shifted by the rows of the ranges before them; only ids and hashes move.
     """
@@ -96,7 +96,7 @@ def succession(rows: DataFrame) -> DataFrame:
         Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))   # one row a range
     total = ids.count()
     ranked = ids.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1).join(before, "_part").select(
-        "k1", "k2", "n_chars", (F.col("_before") + F.col("_rn")).alias("rank"))
+        "doc_id", "k1", "k2", "n_chars", (F.col("_before") + F.col("_rn")).alias("rank"))
     ranked = written(ranked, "ranks")
     nxt = ranked.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("rank").alias("next_rank"))
     return ranked.join(nxt, F.col("next_rank") == (F.col("rank") + 1) % F.lit(max(total, 1)))
@@ -110,11 +110,12 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     chain = written(succession(rows), "succession")
     if not chain.groupBy("k1", "k2").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["k1", "k2"])           # repeated rows: the chain has one row for each of them
-    t = rows.select("doc_id", "text", "k1", "k2")
+    # the texts are dealt by their key once: both joins below use the same columns and so the same exchange
+    t = rows.select("text", "k1", "k2")
     # what the row before needs of a text: its first floor(n_chars / 3) code points
-    want = chain.select("n1", "n2", F.col("k1").alias("p1"), F.col("k2").alias("p2"), "rank", "next_rank", "n_chars")
+    want = chain.select("doc_id", "n1", "n2", F.col("k1").alias("p1"), F.col("k2").alias("p2"), "rank", "next_rank", "n_chars")
     heads = t.join(want, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select(
-        "p1", "p2", "rank", "next_rank", "n_chars", F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("head"))
+        "doc_id", "p1", "p2", "rank", "next_rank", "n_chars", F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("head"))
     both = t.join(heads, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.col("head"))
