@@ -390,5 +390,5 @@ def test_sharding_keeps_groups_together_and_splits_a_huge_one(spark, empty):
     small = got[got.text.str.startswith("pair")].groupby("text").shard.nunique()
     assert (small == 1).mean() > 0.95
     hot = got[got.text == "hot"].shard.value_counts()
-    assert hot.iloc[0] > 120                       # 400 copies need three shards; most lie in full ones
+    assert hot.iloc[0] > 100                       # an even spread has 50 in each; linked pairs share the room
     assert sharding.shard_documents(empty).count() == 0
