@@ -138,6 +138,36 @@ def test_pii_model_finds_what_the_base_drops(spark):
     assert red[1000] == "touching [PHONE] [CARD] here" and red[4] == rows[4][1]
 
 
+def test_pii_model_decides_on_formats_outside_the_base(spark):
+    rng = np.random.default_rng(11)
+
+    def card(sep):
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        d = next(d + str(c) for c in range(10) if brute.luhn(d + str(c)))
+        return sep.join(d[i:i + 4] for i in range(0, 16, 4))
+
+    def phone(i):
+        a, b, c = rng.integers(200, 999), rng.integers(100, 999), rng.integers(1000, 9999)
+        return (f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}")[i % 2]
+
+    def word():
+        return "".join(rng.choice(list("abcdefgh1"), rng.integers(3, 9)))
+    rows = []
+    for i in range(800):
+        x = [phone(i // 8), f"{word()}@{word()}.de", card(" "), f"9{rng.integers(256, 999)}.1.2.3", f"{word()}@{word()}", phone(i // 8),
+             str(rng.integers(10**15, 10**16)), f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-{rng.integers(10, 28)}"][i % 8]
+        rows.append((i, f"some words {x} and more."))
+    lost = ["(555) 123-4567", "030 1234567", "user@müller.de", "имя@почта.рф"]
+    rows += [(1000 + i, f"write to {x} today") for i, x in enumerate(lost)] + [(2000, "on 2024-01-15 we"), (2001, "at root@localhost now"), (2002, "not 999.1.2.3 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    for i, x in enumerate(lost):
+        assert brute.pii_base(rows[800 + i][1]) == []
+        assert red[1000 + i] == f"write to [{'EMAIL' if '@' in x else 'PHONE'}] today", x
+    assert [red[i] for i in (2000, 2001, 2002)] == [t for _, t in rows[-3:]]
+    assert all(red[i] == rows[i][1] for i in range(800) if i % 8 in (3, 4, 7))
+
+
 def test_redact_keeps_columns_and_rows(docs, empty):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
