@@ -168,6 +168,29 @@ def test_pii_model_decides_on_formats_outside_the_base(spark):
     assert all(red[i] == rows[i][1] for i in range(800) if i % 8 in (3, 4, 7))
 
 
+def test_pii_windows_are_bounded_by_digits(spark):
+    rng = np.random.default_rng(12)
+
+    def card(sep, step):
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        d = next(d + str(c) for c in range(10) if brute.luhn(d + str(c)))
+        return sep.join(d[i:i + step] for i in range(0, 16, step))
+
+    def phone():
+        return f"+33 {rng.integers(1, 9)} " + " ".join(str(x) for x in rng.integers(10, 99, 4))
+    rows = [(i, f"some words {[phone(), card(' ', 2), rng.integers(10**15, 10**16), f'9{i}.1.2.3'][i % 4]} and more.") for i in range(600)]
+    p = "+33 1 23 45 67 89"
+    c = "41 11 11 11 11 11 11 11"
+    rows += [(1000, f"call {p} 750013 end"), (1001, f"paid 12345 {c} 987 end")]
+    assert all(not any(k in ("card", "phone") for k, _, _ in brute.pii_base(t)) for _, t in rows[-2:])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cand = pii.candidates(pii.base_spans(pii.keyed(df.where("doc_id >= 1000"))))
+    got = {(r["doc_id"], r["kind"], r["start"], r["end"]) for r in cand.collect()}
+    assert {(1000, "phone", 5, 5 + len(p)), (1001, "card", 11, 11 + len(c))} <= got
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert red[1000] == "call [PHONE] 750013 end" and "[CARD]" in red[1001] and c not in red[1001]
+
+
 def test_redact_keeps_columns_and_rows(docs, empty):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
