@@ -1,10 +1,12 @@
 """Sharding by balanced label propagation: linked documents move towards their neighbours' shards under capacity quotas.
 
 Documents with equal texts are linked. Every document starts in the shard of a hash. In a round each group of linked
-documents counts its members by shard (combined map-side), its members outside the fullest shard that still has room want to
-move there, and a quota per shard decides: demands are summed in at most shards x SIZE_CLASSES x PRIORITIES buckets, whole
-buckets are let in, small groups first, and the bucket that overflows is let in by a share of its rows. So a group
-larger than a shard fills one shard, then the next. Rounds end when nothing moves. A last step makes the counts
+documents counts its members by shard (combined map-side), its members outside the fullest shard that it does not fill alone
+want to move there, and a quota per pair of shards decides: demands are summed in at most shards^2 x SIZE_CLASSES x PRIORITIES
+buckets, demands that go around (a to b and b to a, or a longer cycle) are swapped whatever the load, the others use free
+room; whole buckets are let in, small groups first, and the bucket that overflows is let in by a share of its rows. So a group
+larger than a shard fills one shard, then the next. Every move joins the larger part of its group, so each round that
+moves a row lowers the cut edges; rounds end when two in a row move nothing (ties and draws differ by round). A last step makes the counts
 exact: documents without links (and what exceeds a shard's target) are dealt by a distributed rank into the room left,
 so the counts of all shards differ by at most one (law `rows`).
 
@@ -20,22 +22,71 @@ from pyspark.sql import functions as F
 from termlens.llm.common import ranked, text_or_empty, written
 
 SHARDS = 8
-ROUNDS = 8
+STILL = 2                    # rounds in a row without a move that end the propagation
 PRIORITIES = 32
 SIZE_CLASSES = 64
 GROUP = ["g1", "g2"]
 
 
-def _quota_table(demand: list, room: dict[int, int]) -> dict[tuple[int, int, int], float]:
-    """(target, size class, priority) -> share let in, small groups first."""
+def _cycle(left: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Edges of a shortest cycle of unmet demands, or none: two-cycles come first."""
+    after: dict[int, list[int]] = {}
+    for a, b in left:
+        after.setdefault(a, []).append(b)
+    best: list[int] = []
+    for a in after:
+        back, todo = {a: a}, [a]
+        for x in todo:
+            if a in after.get(x, ()):
+                path = [x]
+                while path[-1] != a:
+                    path.append(back[path[-1]])
+                if not best or len(path) < len(best):
+                    best = path[::-1]
+                break
+            for y in after.get(x, ()):
+                if y not in back:
+                    back[y] = x
+                    todo.append(y)
+        if len(best) == 2:
+            break
+    return list(zip(best, best[1:] + best[:1]))
+
+
+def _quotas(need: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """(from, to) -> rows that may move: cycles of demands swap, what is left uses free room."""
+    left = {k: v for k, v in need.items() if v > 0}
+    out: dict[tuple[int, int], int] = {}
+    while edges := _cycle(left):
+        least = min(left[e] for e in edges)
+        for e in edges:
+            out[e] = out.get(e, 0) + least
+            left[e] -= least
+            if not left[e]:
+                del left[e]
+    free = dict(room)
+    while left:                                       # without cycles: the last shards first, as those before them then have room
+        e = next(((a, b) for a, b in sorted(left) if not any(x == b for x, _ in left)))
+        n = min(left.pop(e), max(0, free.get(e[1], 0)))
+        out[e] = out.get(e, 0) + n
+        free[e[0]] = free.get(e[0], 0) + n
+        free[e[1]] = free.get(e[1], 0) - n
+    return out
+
+
+def _quota_table(demand: list, room: dict[int, int]) -> dict[tuple[int, int, int, int], float]:
+    """(from, target, size class, priority) -> share let in, small groups first."""
+    need: dict[tuple[int, int], int] = {}
+    for r in demand:
+        need[r["shard"], r["want"]] = need.get((r["shard"], r["want"]), 0) + r["need"]
+    left = _quotas(need, room)
     out = {}
-    left = dict(room)
-    for r in sorted(demand, key=lambda r: (r["cls"], r["pri"], r["want"])):
-        have, need = left.get(r["want"], 0), r["need"]
-        share = 1.0 if need <= have else max(0.0, have / need)
-        if share > 0:
-            out[(r["want"], r["cls"], r["pri"])] = share
-            left[r["want"]] = have - min(need, have)
+    for r in sorted(demand, key=lambda r: (r["cls"], r["pri"], r["shard"], r["want"])):
+        pair, n = (r["shard"], r["want"]), r["need"]
+        have = left.get(pair, 0)
+        if have > 0:
+            out[(*pair, r["cls"], r["pri"])] = min(1.0, have / n)
+            left[pair] = have - min(n, have)
     return out
 
 
@@ -46,35 +97,42 @@ def _by_shard(values: dict[int, int], shard: Column) -> Column:
     return out
 
 
-def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """Move the rows of `linked` (uid, g1, g2, shard) between shards; at most about `capacity` linked rows a shard."""
     spark = linked.sparkSession
-    for _ in range(rounds):
+    turn = still = 0
+    while still < STILL:
+        turn += 1
         load = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}      # one row a shard
-        room = {b: max(0, capacity - load.get(b, 0)) for b in range(shards)}
-        full = [b for b in range(shards) if room[b] == 0]
+        room = {b: capacity - load.get(b, 0) for b in range(shards)}
         votes = linked.groupBy(*GROUP, "shard").agg(F.count(F.lit(1)).alias("n"))
-        is_full = F.col("shard").isin(full) if full else F.lit(False)
-        # the group's fullest shard with room; members in full shards stay where they are
+        # the group's fullest shard that it does not fill alone; members in those it fills stay there
+        open_ = F.col("n") < capacity
         pref = votes.groupBy(*GROUP).agg(
-            F.max_by(F.col("shard"), F.when(~is_full, F.struct("n", F.xxhash64(*GROUP, "shard")))).alias("want"),
-            F.sum(F.when(~is_full, F.col("n")).otherwise(0)).alias("open"), F.max(F.when(~is_full, F.col("n"))).alias("held"))
-        pref = pref.where("open > held").select(
-            *[F.col(g).alias(f"_{g}") for g in GROUP], "want", (F.col("open") - F.col("held")).alias("need"),
-            F.least(F.floor(F.log2("open")), F.lit(SIZE_CLASSES - 1)).cast("int").alias("cls"),
-            F.pmod(F.xxhash64(*GROUP), F.lit(PRIORITIES)).cast("int").alias("pri"))
-        pref = written(pref, "wants")
-        demand = pref.groupBy("want", "cls", "pri").agg(F.sum("need").alias("need")).collect()   # bounded by the buckets
+            F.max_by(F.col("shard"), F.when(open_, F.struct("n", F.xxhash64(*GROUP, "shard", F.lit(turn))))).alias("want"),
+            F.sum("n").alias("size"), F.collect_list(F.when(open_, F.struct("shard", "n"))).alias("votes"))     # at most one a shard
+        pref = written(pref.where(F.size("votes") > 1).select(
+            *[F.col(g).alias(f"_{g}") for g in GROUP], "want", "votes",
+            F.least(F.floor(F.log2("size")), F.lit(SIZE_CLASSES - 1)).cast("int").alias("cls"),
+            F.pmod(F.xxhash64(*GROUP), F.lit(PRIORITIES)).cast("int").alias("pri")), "wants")
+        demand = pref.select("want", "cls", "pri", F.inline("votes")).where("shard <> want").groupBy(
+            "shard", "want", "cls", "pri").agg(F.sum("n").alias("need")).collect()               # bounded by the buckets
         shares = _quota_table(demand, room)
-        if not shares:
+        if not demand:
             break
-        gate = spark.createDataFrame([(*k, v) for k, v in shares.items()], "q_want int, q_cls int, q_pri int, share double")
-        pref = pref.join(F.broadcast(gate), (F.col("want") == F.col("q_want")) & (F.col("cls") == F.col("q_cls"))
-                         & (F.col("pri") == F.col("q_pri"))).select("_g1", "_g2", "want", "share")
-        draw = F.pmod(F.xxhash64("uid", F.lit(13)), F.lit(1_000_000)) / 1e6
-        moved = linked.join(pref, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")), "left")
-        go = F.col("want").isNotNull() & ~is_full & (draw < F.col("share"))
-        linked = written(moved.select("uid", *GROUP, F.when(go, F.col("want")).otherwise(F.col("shard")).alias("shard")), "labels")
+        if not shares:
+            still += 1
+            continue
+        gate = spark.createDataFrame([(*k, v) for k, v in shares.items()], "q_from int, q_want int, q_cls int, q_pri int, share double")
+        moves = pref.select("_g1", "_g2", "want", "cls", "pri", F.inline("votes")).where("shard <> want").join(
+            F.broadcast(gate), (F.col("shard") == F.col("q_from")) & (F.col("want") == F.col("q_want")) & (F.col("cls") == F.col("q_cls"))
+            & (F.col("pri") == F.col("q_pri"))).select("_g1", "_g2", F.col("shard").alias("_from"), "want", "share")
+        draw = F.pmod(F.xxhash64("uid", F.lit(13), F.lit(turn)), F.lit(1_000_000)) / 1e6
+        moved = linked.join(moves, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")) & (F.col("shard") == F.col("_from")), "left")
+        go = F.coalesce(draw < F.col("share"), F.lit(False))
+        linked = written(moved.select("uid", *GROUP, F.when(go, F.col("want")).otherwise(F.col("shard")).alias("shard"), go.alias("_went")), "labels")
+        still = still + 1 if linked.where("_went").isEmpty() else 0
+        linked = linked.drop("_went")
     return linked
 
 

@@ -445,3 +445,19 @@ def test_sharding_keeps_groups_together_and_splits_a_huge_one(spark, empty):
     hot = got[got.text == "hot"].shard.value_counts()
     assert hot.iloc[0] > 100                       # an even spread has 50 in each; linked pairs share the room
     assert sharding.shard_documents(empty).count() == 0
+
+
+@pytest.mark.parametrize("linked", [95, 100])
+def test_sharding_of_nearly_all_linked_rows_keeps_groups_together(spark, linked):
+    rng = np.random.default_rng(linked)
+    rows, g = [], 0
+    while len(rows) < 4000 * linked // 100:
+        rows += [f"group {g}"] * int(rng.integers(2, 5))
+        g += 1
+    rows += [f"alone {i}" for i in range(4000 - len(rows))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sharding.shard_documents(df).toPandas().merge(pd.DataFrame({"doc_id": range(len(rows)), "text": rows}), on="doc_id")
+    n = got.shard.value_counts()
+    assert len(got) == len(rows) and n.max() - n.min() <= 1
+    split = got[got.text.str.startswith("group")].groupby("text").shard.nunique() > 1
+    assert split.mean() < 0.1
