@@ -9,8 +9,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,6 +20,7 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from paths import SF_SMALL
     from termlens.sources.tables import TABLES
     con = duckdb.connect()
     for t in TABLES:

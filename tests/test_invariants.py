@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from termlens.operators import cluster as CL
 from termlens.operators import cluster_metrics as CM
 from termlens.operators import prep as PP

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_check import compare
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
