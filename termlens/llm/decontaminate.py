@@ -91,9 +91,10 @@ class Patterns:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = np.concatenate(found) - m + 1
         key = self._keys_at(wh, start)
-        i = np.searchsorted(self.keys, key)
-        ok = (i < len(self.keys)) & (self.keys[np.minimum(i, len(self.keys) - 1)] == key)
-        start, pat = start[ok], self.order[i[ok]]
+        lo = np.searchsorted(self.keys, key)                  # the whole bucket of a key is compared
+        n = np.searchsorted(self.keys, key, side="right") - lo
+        pat = self.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        start = np.repeat(start, n)
         same = (wh[start[:, None] + np.arange(m)] == self.words[pat]).all(axis=1)
         return start[same], pat[same]
 

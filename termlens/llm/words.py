@@ -1,9 +1,10 @@
 """Vectorised word splitting and 64-bit hashing over the UTF-8 buffers of Arrow string columns.
 
-A word hash is a polynomial in a random byte table modulo 2^64, taken for all words of a slice at once from one prefix
-sum (odd multipliers have inverses, so a prefix-sum difference can be shifted back to position 0). The same trick over
-the word hashes gives the hashes of all n-word windows. Memory is bounded by `SLICE_BYTES` per slice (or the longest
-single text).
+A word hash runs over the word's eight-byte lanes with a non-linear mix after each, for all words of a slice at once
+(words above `LONG_WORD` bytes by XXH3, one by one); a second seed gives an independent second hash. The hash of an
+n-word window is a polynomial over the word hashes, for all windows from one prefix sum (odd multipliers have inverses,
+so a prefix-sum difference can be shifted back to position 0). Memory is bounded by `SLICE_BYTES` per slice (or the
+longest single text).
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
+LONG_WORD = 256              # bytes
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
@@ -53,7 +56,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
+#: keeps the first 0 .. 8 bytes of a little-endian lane
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 #: bytes 0x20, 0x09..0x0D separate words
 SPACE_WORDS = np.ones(256, dtype=bool)
@@ -67,8 +71,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of runs of rows of about SLICE_BYTES; a null text counts as empty."""
+def slices(col: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of runs of rows of about `size` bytes; a null text counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0)
     col = col.cast(pa.large_string()).fill_null("")
@@ -80,7 +84,7 @@ def slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, side="right")) - 1)
         j = min(j, n)
         yield i, j, whole[offs[i]:offs[j]], (offs[i:j + 1] - offs[i])
         i = j
@@ -103,13 +107,24 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[
     return s, e, np.searchsorted(s, offs)
 
 
-def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of every word (equal bytes, equal hash, wherever the word stands)."""
-    n = len(buf)
-    pre = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[buf] * powers(_P, n), out=pre[1:])
-    h = (pre[e] - pre[s]) * powers(inverse(_P), n + 1)[s]
-    return mix(h ^ (e - s).astype(np.uint64))
+    n = e - s
+    h = mix(n.astype(np.uint64) * np.uint64(_P) + np.uint64(seed * _R & _MASK))
+    if not len(s):
+        return h
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[:len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))      # the eight bytes from every position
+    live, at = np.flatnonzero((n > 0) & (n <= LONG_WORD)), 0
+    while len(live):
+        x = lanes[s[live] + at] & _KEEP[np.minimum(n[live] - at, 8)]
+        h[live] = mix((h[live] ^ x) * np.uint64(_Q))
+        at += 8
+        live = live[n[live] > at]
+    for k in np.flatnonzero(n > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(buf[s[k]:e[k]].tobytes(), seed)
+    return h
 
 
 def window_hashes(wh: np.ndarray, width: int, base: int = _Q) -> np.ndarray:
@@ -122,9 +137,9 @@ def window_hashes(wh: np.ndarray, width: int, base: int = _Q) -> np.ndarray:
     return mix((pre[width:] - pre[:-width]) * powers(inverse(base), n)[:n - width + 1])
 
 
-def second_window_hashes(wh: np.ndarray, width: int) -> np.ndarray:
-    """An independent 64-bit hash of the same windows; the pair is a 128-bit key."""
-    return window_hashes(mix(wh ^ np.uint64(_R)), width, _R)
+def second_window_hashes(wh2: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the same windows from word hashes of another seed and another base; with the first a 128-bit key."""
+    return window_hashes(wh2, width, _R)
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:

@@ -1,12 +1,7 @@
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(30_000))
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 
