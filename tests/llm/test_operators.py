@@ -59,6 +59,36 @@ def test_missing_shared_folder_is_local_only(spark):
     assert common.shared_dir(spark)
 
 
+def thue_morse(n, x, y):
+    """Equal under every polynomial hash modulo 2^64 to its mirror image once n is large."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join((x, y)[b] for b in bits), "".join((y, x)[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_under_polynomial_hashes(spark, n):
+    a, b = thue_morse(n, "a", "b")
+    head, tail = " ".join(f"w{i}" for i in range(20)), " ".join(f"v{i}" for i in range(20))
+    texts = [f"{head} {a} {tail}", f"{head} {b} {tail}", a, b]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same_rows(rows_of(substring.remove_repeats(df).drop("kept")), [(d, *x) for d, x in enumerate(brute.repeats(texts))])
+    items = [(1, "x " * 5 + a + " y" * 4), (2, "x " * 5 + b + " y" * 4)]
+    hay = [(1, items[0][1]), (2, "z " + items[1][1])]
+    got = decontaminate.decontamination_report(spark.createDataFrame(hay, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    same_rows(rows_of(got), [(d, *(c := brute.contamination(t, items)), c[1] > 0) for d, t in hay])
+    lm = {r["doc_id"]: r["n_known"] for r in lm_score.score(df.where("doc_id >= 2"), F.col("doc_id") == 3).collect()}
+    assert lm == {2: 2, 3: 1}
+
+
+def test_suffix_buckets_hold_all_patterns_of_a_key():
+    p = decontaminate.Patterns(2, ["a b", "c d", "e f"], [["1"], ["2"], ["3"]])
+    p.keys[:] = p.keys[0]                                  # as if all three windows had one key
+    p._keys_at = lambda wh, start: np.full(len(start), p.keys[0])
+    for k, w in enumerate(p.words):
+        start, pat = p.find(np.concatenate([w, w]), np.array([0, 4]))
+        assert set(zip(start.tolist(), pat.tolist())) == {(0, k), (2, k)}
+
+
 # ---------------------------------------------------------------- op1
 
 def test_url_edges(spark):
@@ -365,8 +395,7 @@ def test_packing(table, plain, capacity):
     s = got.sort_values(["sequence_id", "offset"])
     for _, g in s.groupby("sequence_id"):
         assert (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all() and g.length.sum() <= capacity
-    least = -(-got.length.sum() // capacity)
-    assert got.sequence_id.nunique() <= 1.05 * least + 2
+    assert got.sequence_id.nunique() <= best_fit_decreasing(got.length.tolist(), capacity)
 
 
 def test_packing_plan_holds_every_length_and_is_near_the_bound():
@@ -382,12 +411,51 @@ def test_packing_plan_holds_every_length_and_is_near_the_bound():
         assert (got == counts).all() and sum(k for k, _ in runs) <= -(-lens.sum() // 2048) * 1.02 + 1
 
 
-def test_packing_pieces_join_to_the_same_ids():
+def test_packing_units_join_to_the_same_ids():
+    import pyarrow as pa
     from tokenizers import Tokenizer
+    from termlens.llm import words
     tok, enc = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
-    texts = ["", " ", "a  b", "a \n b", " lead", "trail ", "x<|endoftext|> y <|endoftext|>", "tab\t x  y", "a　 b", "don't  stop 12 3.4\r\n ok", "a, b.\nC d;e f-g h\n\ni j,\n k l,ñ m²,3", "é ü \U0001F600 z"]
-    for t, got in zip(texts, enc.encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    texts = ["", " ", "a  b", "a \n b", " lead", "trail ", "x<|endoftext|> y <|endoftext|>", "tab\t x  y", "a  b", "don't  stop 12 3.4\r\n ok", "a, b.\nC d;e f-g h\n\ni j,\n k l,ñ m²,3", "é ü \U0001F600 z",
+             "x" * 100_000]
+    rng = np.random.default_rng(4)
+    letters = [" ", " ", "\n", ".", ",", "'", "s", "a", "B", "é", "×", "ñ", "1", "²", "\u00a0", "\u3000", "\t", "\r", "&", "<|endoftext|>", "€", "中", "\u2028", "\x85", "ll", "\x1c", "\u0301"]
+    texts += ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
+    got = [x for _, _, buf, offs in words.slices(pa.array(texts), 1 << 14) for x in enc.encode(buf, offs)]
+    assert len(got) == len(texts)
+    for t, x in zip(texts, got):
+        assert np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def best_fit_decreasing(lens, capacity):
+    import bisect
+    gaps, n = [], 0
+    for s in sorted(lens, reverse=True):
+        k = bisect.bisect_left(gaps, s)
+        if k == len(gaps):
+            n, g = n + 1, capacity - s
+        else:
+            g = gaps.pop(k) - s
+        bisect.insort(gaps, g)
+    return n
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_plan_is_never_worse_than_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.choice([64, 100, 2048]))
+    lens = [rng.integers(1, capacity + 1, 300), np.minimum(capacity, rng.lognormal(4, 1.5, 2000).astype(int) + 1),
+            rng.choice([capacity // 2 + 1, capacity // 3 + 1, capacity // 4 + 1, 3], 500), np.full(77, capacity // 3 + 1)][seed % 4]
+    counts = np.bincount(lens, minlength=capacity + 1)
+    n = sum(k for k, _ in packing.plan(counts, capacity))
+    assert n <= best_fit_decreasing(lens.tolist(), capacity)
+    s = packing.configuration_lp(counts, capacity)
+    held = np.zeros(capacity + 1)
+    for x, conf in s.columns:
+        assert sum(k * m for k, m in conf.items()) <= capacity
+        for k, m in conf.items():
+            held[k] += x * m
+    assert (held >= counts * (1 - 1e-9)).all() and s.bound <= s.value * (1 + 1e-9) and s.bound <= n + 1e-6
 
 
 def test_packing_empty(empty):
