@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm import decontaminate, fingerprint, language_id, lm_score, packing, pii, sharding, simhash, substring, url_filter
+from termlens.llm import (bitplane, decontaminate, fingerprint, language_id, lm_score, ngram_join, packing, pii, sharding, simhash,
+                          substring, trie_codes, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +156,77 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op11
+
+def _kept_sql(cond: str) -> str:
+    return f"{cond} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _centroid_sql(k: int, rounds: int, scale: int, salt: str) -> str:
+    d2 = "CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    ctes = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+             FROM embeddings WHERE {_kept_sql("len(embedding) = 64")})""",
+            f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id)) - 1 AS c, q FROM v
+             QUALIFY row_number() OVER (ORDER BY sha256('{salt}' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT rid, min({d2} * {k} + c.c) AS m FROM v, c{r} AS c GROUP BY rid)")
+        if r < rounds:
+            ctes.append(f"""s{r} AS (SELECT m % {k} AS c, p, sum(x) AS s, count(*) AS n FROM
+             (SELECT m, unnest(q) AS x, unnest(generate_series(1, 64)) AS p FROM a{r} JOIN v USING (rid)) GROUP BY ALL),
+             n{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS q FROM s{r} GROUP BY c),
+             c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.q, o.q) AS q FROM c{r} AS o LEFT JOIN n{r} AS n USING (c))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, m // {k} AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN c{rounds} AS c ON c.c = m % {k}"""
+
+
+@query("op11_bit_planes", _centroid_sql(40, 5, 256, "2:"))
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- op12
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int, width: int) -> str:
+    d2 = "CAST(list_sum(list_transform(list_zip(x.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    ctes = [f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+             FROM embeddings WHERE {_kept_sql("embedding IS NOT NULL")})""",
+            f"x AS MATERIALIZED (SELECT rid, p, q[{width} * p + 1:{width} * p + {width}] AS q FROM v, (SELECT unnest(generate_series(0, {parts - 1})) AS p))",
+            f"b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, q FROM x WHERE rid <= {entries})"]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT rid, x.p, min({d2} * {entries} + e) AS m FROM x JOIN b{r} AS b ON x.p = b.p GROUP BY rid, x.p)")
+        if r < rounds:
+            ctes.append(f"""s{r} AS (SELECT p, m % {entries} AS e, i, sum(y) AS s, count(*) AS n FROM
+             (SELECT p, m, unnest(q) AS y, unnest(generate_series(1, {width})) AS i FROM a{r} JOIN x USING (rid, p)) GROUP BY ALL),
+             n{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{r} GROUP BY p, e),
+             b{r + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(n.q, o.q) AS q FROM b{r} AS o LEFT JOIN n{r} AS n ON o.p = n.p AND o.e = n.e)""")
+    return "WITH " + ",\n".join(ctes) + f""",
+w AS (SELECT rid, string_agg(format('{{:02x}}', m % {entries}), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+k AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM w JOIN v USING (rid), k"""
+
+
+@query("op12_trie_codes", _codes_sql(8, 16, 6, 4096, 8))
+def op12_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- op13
+
+_OP13 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(ws[k:k + 2], ' ') AS g FROM (SELECT rid, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS k FROM d WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS o FROM g AS x JOIN g AS y ON x.g = y.g AND x.rid < y.rid GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n AS p ON p.rid = a JOIN n AS q ON q.rid = b WHERE 100 * o >= 90 * (p.n + q.n - o)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, t.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) AS t ON r.b = t.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT r.a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY r.a) AS c USING (rid)"""
+
+
+@query("op13_ngram_join", _OP13)
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
