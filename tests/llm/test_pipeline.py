@@ -16,8 +16,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = [n for n in E.queries() if n == "pipeline" or re.match(r"op\d+_", n)]
 
 
-def test_all_eleven_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 11)) and "pipeline" in NAMES
+def test_all_fourteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 14)) and "pipeline" in NAMES
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in E.oracle_sql()])
