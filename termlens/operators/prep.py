@@ -8,13 +8,16 @@ AQE split a skewed key; a window would put a whole hot key into one task).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions.nulls import canonical, to_number
 from termlens.operators.quantiles import quantile_values, wide_quantiles
+from termlens.session import stored
 
 # Fixed values of the preparation rules.
 P_LOW, P_HIGH = 0.01, 0.99
@@ -53,8 +56,17 @@ def median_impute(df: DataFrame, keys: list[str], cols: list[str], flags: bool =
 @dataclass
 class TieredResult:
     data: DataFrame
-    log: DataFrame
-    imputed: list[str] = field(default_factory=list)
+    imputed: list[str]
+    make_log: Callable[[], DataFrame]
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """One row a feature; counted only when asked for."""
+        return self.make_log()
+
+
+LOG_SCHEMA = ("feature string, missing_rate double, numeric_parse_rate double, imputed_total long, from_xh_median long, "
+              "from_term_median long, from_global_median long, high_missing_feature int, note string")
 
 
 def _rates(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -70,51 +82,43 @@ def tiered_impute(df: DataFrame, entity: str, period: str, cols: list[str], only
     per-feature log (A32). `only` restricts filling to a whitelist (X3)."""
     rates = _rates(df, cols)
     fill = [c for c in cols if rates[c][1] >= parse_min and (only is None or c in only)]
-    if not fill:
-        data = df.select(entity, period, *cols, *[to_number(c).isNull().cast("int").alias(f"is_missing_{c}") for c in cols])
-        rows = [(c, rates[c][0], rates[c][1], 0, 0, 0, 0, int(rates[c][0] > HIGH_MISSING),
-                 "skip_non_numeric_feature" if rates[c][1] < parse_min else "not_in_whitelist") for c in cols]
-        log = df.sparkSession.createDataFrame(rows, "feature string, missing_rate double, numeric_parse_rate double, "
-                                              "imputed_total long, from_xh_median long, from_term_median long, "
-                                              "from_global_median long, high_missing_feature int, note string")
-        return TieredResult(data, log, [])
+    flags = [f"is_missing_{c}" for c in cols]
+    rest = [c for c in cols if c not in fill]
+
+    def log(used: dict[str, list[int]]) -> DataFrame:
+        rows = []
+        for c in cols:
+            mr, pr = rates[c]
+            u = used.get(c, [0, 0, 0])
+            note = "ok" if c in fill else "skip_non_numeric_feature" if pr < parse_min else "not_in_whitelist"
+            rows.append((c, mr, pr, sum(u), *u, int(mr > HIGH_MISSING), note))
+        return df.sparkSession.createDataFrame(rows, LOG_SCHEMA)
+
     base = df.select(entity, period, *[to_number(c).alias(c) if c in fill else F.col(c) for c in cols],
-                     *[to_number(c).isNull().cast("int").alias(f"is_missing_{c}") for c in cols])
-    # tier 1: entity medians (aggregate, joined back null-safe on the key)
-    em = base.groupBy(entity).agg(*[F.median(c).alias(f"_em_{c}") for c in fill])
-    w1 = base.join(em, base[entity].eqNullSafe(em[entity]), "left").drop(em[entity])
-    w1 = w1.select(entity, period, *[c for c in cols if c not in fill], *[f"is_missing_{c}" for c in cols],
-                   *[F.coalesce(F.col(c), F.col(f"_em_{c}")).alias(c) for c in fill],
-                   *[(F.col(c).isNull() & F.col(f"_em_{c}").isNotNull()).cast("int").alias(f"_u1_{c}") for c in fill])
+                     *[to_number(c).isNull().cast("int").alias(f) for c, f in zip(cols, flags)])
+    if not fill:
+        return TieredResult(base, [], lambda: log({}))
+    # tier 1: entity medians (aggregate, joined back null-safe on the key); stored, since two scans and the next tier read it
+    em = base.groupBy(F.col(entity).alias("_e")).agg(*[F.median(c).alias(f"_em_{c}") for c in fill])
+    w1 = base.join(em, F.col(entity).eqNullSafe(F.col("_e")), "left")
+    w1 = stored(w1.select(entity, period, *rest, *flags, *[F.coalesce(F.col(c), F.col(f"_em_{c}")).alias(c) for c in fill],
+                          *[(F.col(c).isNull() & F.col(f"_em_{c}").isNotNull()).cast("int").alias(f"_u1_{c}") for c in fill]), "tier1")
     # tier 2: period medians of the tier-1 result
     pm = wide_quantiles(w1, fill, 0.5, [period], "_pm_").withColumnRenamed(period, "_pp")
-    w2 = w1.join(pm, F.col(period).eqNullSafe(F.col("_pp")), "left").drop("_pp")
-    w2 = w2.select(entity, period, *[c for c in cols if c not in fill], *[f"is_missing_{c}" for c in cols],
-                   *[f"_u1_{c}" for c in fill],
-                   *[F.coalesce(F.col(c), F.col(f"_pm_{c}")).alias(c) for c in fill],
-                   *[(F.col(c).isNull() & F.col(f"_pm_{c}").isNotNull()).cast("int").alias(f"_u2_{c}") for c in fill])
-    # tier 3: global median (one aggregate, inlined)
+    w2 = w1.join(pm, F.col(period).eqNullSafe(F.col("_pp")), "left")
+    w2 = stored(w2.select(entity, period, *rest, *flags, *[f"_u1_{c}" for c in fill],
+                          *[F.coalesce(F.col(c), F.col(f"_pm_{c}")).alias(c) for c in fill],
+                          *[(F.col(c).isNull() & F.col(f"_pm_{c}").isNotNull()).cast("int").alias(f"_u2_{c}") for c in fill]), "tier2")
+    # tier 3: global median, inlined
     gm = median_fit(w2, fill)
-    w3 = w2.select(entity, period, *[c for c in cols if c not in fill], *[f"is_missing_{c}" for c in cols],
-                   *[f"_u1_{c}" for c in fill], *[f"_u2_{c}" for c in fill],
-                   *[F.coalesce(F.col(c), _lit(gm[c] if gm[c] is not None else 0.0)).alias(c) for c in fill],
-                   *[F.col(c).isNull().cast("int").alias(f"_u3_{c}") for c in fill])
-    data = w3.select(entity, period, *cols, *[f"is_missing_{c}" for c in cols])
-    counts = w3.agg(*[F.sum(f"_u{t}_{c}").alias(f"{c}__u{t}") for c in fill for t in (1, 2, 3)]).first() if fill else {}
-    spark = df.sparkSession
-    rows = []
-    for c in cols:
-        mr, pr = rates[c]
-        if c in fill:
-            u = [int(counts[f"{c}__u{t}"] or 0) for t in (1, 2, 3)]
-            rows.append((c, mr, pr, sum(u), u[0], u[1], u[2], int(mr > HIGH_MISSING), "ok"))
-        else:
-            note = "skip_non_numeric_feature" if pr < parse_min else "not_in_whitelist"
-            rows.append((c, mr, pr, 0, 0, 0, 0, int(mr > HIGH_MISSING), note))
-    log = spark.createDataFrame(rows, "feature string, missing_rate double, numeric_parse_rate double, imputed_total long, "
-                                      "from_xh_median long, from_term_median long, from_global_median long, "
-                                      "high_missing_feature int, note string")
-    return TieredResult(data, log, fill)
+    data = w2.select(entity, period, *[F.coalesce(F.col(c), _lit(gm[c] if gm[c] is not None else 0.0)).alias(c) if c in fill else F.col(c)
+                                       for c in cols], *flags)
+
+    def counted() -> DataFrame:
+        got = w2.agg(*[F.sum(f"_u{t}_{c}").alias(f"{c}__u{t}") for c in fill for t in (1, 2)], *[F.count_if(F.col(c).isNull()).alias(f"{c}__u3") for c in fill]).first()
+        return log({c: [int(got[f"{c}__u{t}"] or 0) for t in (1, 2, 3)] for c in fill})
+
+    return TieredResult(data, fill, counted)
 
 
 # ---- W1: partition median broadcast back to rows ----
@@ -233,18 +237,15 @@ def average_rank(long: DataFrame, group_cols: list[str], value: str = "value", b
 
 
 def _equal_masks(df: DataFrame, masks: dict) -> dict:
-    """{mask id: first mask id that selects the same rows}, compared exactly: rows where two masks differ are counted for
-    every pair in one aggregate."""
+    """{mask id: first mask id that selects the same rows}, compared exactly on the distinct combinations of mask values (as
+    many as the table has null patterns)."""
     ids = list(masks)
-    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[:n]]
-    if not pairs:
-        return {i: i for i in ids}
-    row = df.agg(*[F.count_if(masks[i] != masks[j]).alias(f"d{n}") for n, (i, j) in enumerate(pairs)]).first()
-    first = {i: i for i in ids}
-    for n, (i, j) in enumerate(pairs):
-        if row[f"d{n}"] == 0:
-            first[i] = min(first[i], first[j], key=ids.index)
-    return first
+    if not ids:
+        return {}
+    bits = F.concat(*[masks[i].cast("int").cast("string") for i in ids]).alias("bits")
+    patterns = [r["bits"] for r in df.select(bits).distinct().collect()]
+    first: dict[tuple, object] = {}
+    return {i: first.setdefault(tuple(p[n] for p in patterns), i) for n, i in enumerate(ids)}
 
 
 def _gram_batches(batches, sizes: dict[int, int], rows: dict[int, int]):
@@ -378,7 +379,7 @@ def prune_redundant(corr_long: DataFrame, cols: list[str], thresh: float = CORR_
 def pca_fit(df: DataFrame, cols: list[str], k: int = 20):
     """X11: standardised features -> ml PCA; returns (model, explained-variance table with cumulative sum W3)."""
     from pyspark.ml.feature import PCA, VectorAssembler
-    va = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep")
+    va = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="error")
     v = va.transform(df.select(*cols))
     k = min(k, len(cols))
     model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(v)

@@ -1,8 +1,10 @@
-"""Exact linear-interpolated quantiles without whole-column state in one task.
+"""Exact linear-interpolated quantiles without a shuffle of the values.
 
-Distinct values are counted (combined map-side), cut into buckets of about `BUCKET_VALUES` distinct values, bucket totals are
-prefix-summed per (group, feature), and only the buckets that hold a wanted position are ordered. The result equals
-`percentile` on the same data; what one task sorts is one bucket, whatever the size of a group.
+A mergeable sketch (`percentile_approx`, one wide aggregate) brackets every wanted rank from below and above within a few
+`1 / ACCURACY` of the rows. A second scan counts the values below each bracket and keeps only those inside it, which
+are counted by value and ordered; the wanted positions are read from them. The result equals `percentile` on the same data. What is
+shuffled is the sketches and a few ten-thousandths of the cells; groups of at most `ACCURACY` values are ordered whole. Should a
+bracket miss its position (the ranks are checked against the counts), the scan is repeated with wider ones, at last with the whole range.
 """
 
 from __future__ import annotations
@@ -11,56 +13,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions.nulls import to_number
-from termlens.session import cut_lineage
+from termlens.session import stored
 
-BUCKET_VALUES = 50_000
-MAX_BUCKETS = 4096
+ACCURACY = 10_000
+MARGINS = (4 / ACCURACY, 64 / ACCURACY, 1.0)
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None,
-                    exprs: dict[str, Column] | None = None) -> DataFrame:
+                    exprs: dict[str, Column] | None = None, accuracy: int = ACCURACY) -> DataFrame:
     """(by..., feature, q0, q1, ...): one row per group and feature that has a non-null value."""
-    by = by or []
-    exprs = exprs or {}
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), exprs.get(c, to_number(c)).cast("double").alias("value")) for c in cols])
-    long = df.select(*by, F.explode(cells).alias("_r")).select(*by, F.col("_r.feature").alias("feature"), F.col("_r.value").alias("value"))
-    counts = cut_lineage(long.where(F.col("value").isNotNull()).groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("_c")))
-    keys = [*by, "feature"]
-    most = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    buckets = max(1, min(MAX_BUCKETS, -(-most // BUCKET_VALUES)))
-    if buckets == 1:
-        placed = counts.withColumn("_bk", F.lit(0))
-    else:
-        cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
-        placed = _null_safe(counts, cuts, keys).withColumn("_bk", F.size(F.filter("_cuts", lambda x: x < F.col("value")))).drop("_cuts")
-    group = Window.partitionBy(*keys)
-    totals = placed.groupBy(*keys, "_bk").agg(F.sum("_c").alias("_n")).select(
-        *keys, "_bk", "_n", F.sum("_n").over(group).alias("_all"),
-        F.coalesce(F.sum("_n").over(group.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ends = [(f"_{side}{i}", fn(F.lit(float(q)) * (F.col("_all") - 1))) for i, q in enumerate(qs) for side, fn in (("lo", F.floor), ("hi", F.ceil))]
-    holds = F.lit(False)
-    for _, pos in ends:
-        holds = holds | ((pos >= F.col("_before")) & (pos < F.col("_before") + F.col("_n")))
-    wanted = totals.where(holds).drop("_n")
-    rows = _null_safe(placed, wanted, [*keys, "_bk"])
-    inside = Window.partitionBy(*keys, "_bk").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    picks = [F.max(F.when((pos >= F.col("_from")) & (pos < F.col("_from") + F.col("_c")), F.col("value"))).alias(name) for name, pos in ends]
-    got = rows.groupBy(*keys).agg(F.first("_all").alias("_all"), *picks)
+    by, exprs = by or [], exprs or {}
+    base = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)],
+                     *[exprs.get(c, to_number(c)).cast("double").alias(f"_v{j}") for j, c in enumerate(cols)])
+    keys = [f"_k{i}" for i in range(len(by))]
+    for margin in MARGINS:
+        got = stored(_positions(base, keys, len(cols), qs, margin * ACCURACY / accuracy if margin < 1 else 1.0, accuracy), "quantiles")
+        missed = F.lit(False)
+        for i in range(len(qs)):
+            missed = missed | F.col(f"_lo{i}").isNull() | F.col(f"_hi{i}").isNull()
+        if margin == MARGINS[-1] or got.where(missed).isEmpty():
+            break
     out = []
     for i, q in enumerate(qs):
-        at = F.lit(float(q)) * (F.col("_all") - 1)
+        at = F.lit(float(q)) * (F.col("_n") - 1)
         out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(f"q{i}"))
-    return got.select(*keys, *out)
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_j") + 1).alias("feature")
+    return got.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(by)], name, *out)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on `keys` in which null equals null; the keys of `left` stay."""
+def _positions(base: DataFrame, keys: list[str], n_cols: int, qs: list[float], margin: float, accuracy: int) -> DataFrame:
+    """(keys, _j, _n, _lo0, _hi0, ...): the values around every wanted position; null where a bracket missed it."""
+    probes = [p for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    sketch = base.groupBy(*keys).agg(
+        *[F.count(f"_v{j}").alias(f"_n{j}") for j in range(n_cols)],
+        *[F.percentile_approx(f"_v{j}", probes, accuracy).alias(f"_b{j}") for j in range(n_cols)])
+    sketch = stored(sketch, "sketch")
+    cells = _null_safe(base, sketch, keys) if keys else base.crossJoin(F.broadcast(sketch))          # without keys: one row
+
+    def bounds(j: int, i: int) -> tuple[Column, Column]:
+        whole = F.lit(margin >= 1.0) | (F.col(f"_n{j}") <= accuracy)
+        return (F.when(whole, F.lit(float("-inf"))).otherwise(F.col(f"_b{j}")[2 * i]), F.when(whole, F.lit(float("inf"))).otherwise(F.col(f"_b{j}")[2 * i + 1]))
+
+    below, inside = [], []
+    for j in range(n_cols):
+        v = F.col(f"_v{j}")
+        for i in range(len(qs)):
+            lo, hi = bounds(j, i)
+            below.append(F.count_if(v < lo).alias(f"_u{j}_{i}"))
+            inside.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), v.alias("_v"))))
+    under = cells.groupBy(*keys).agg(*below)
+    ranks = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.col(f"_n{j}").alias("_n"), F.col(f"_u{j}_{i}").alias("_u"),
+                               F.lit(float(q)).alias("_q")) for j in range(n_cols) for i, q in enumerate(qs)])
+    wide = _null_safe(under, sketch, keys) if keys else under.crossJoin(F.broadcast(sketch))
+    ranks = wide.select(*keys, F.explode(ranks).alias("_r")).select(*keys, "_r.*").where("_n > 0")
+    kept = cells.select(*keys, F.explode(F.array_compact(F.array(*inside))).alias("_c")).select(*keys, "_c.*")
+    kept = kept.groupBy(*keys, "_j", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys, "_j", "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    rows = _null_safe(kept, ranks, [*keys, "_j", "_i"], "right")
+    first = F.col("_u") + F.col("_before")
+    at = F.col("_q") * (F.col("_n") - 1)
+    picks = []
+    for i in range(len(qs)):
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("_i") == i) & (pos >= first) & (pos < first + F.col("_c")), F.col("_v"))).alias(f"_{side}{i}"))
+    return rows.groupBy(*keys, "_j").agg(F.first("_n").alias("_n"), *picks)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys` in which null equals null; the keys of `left` stay (of `right` in a right join)."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])
+    got = left.join(r, cond, how)
+    if how == "right":
+        got = got.drop(*keys).withColumnsRenamed({f"_r_{k}": k for k in keys})
+    return got.drop(*[f"_r_{k}" for k in keys])
 
 
 def quantile_values(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:

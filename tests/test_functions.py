@@ -119,14 +119,14 @@ def test_white_space_is_trimmed_on_both_ends(spark):
     assert _one(spark, K.normalize_id("t"), [("\t12.0\n",), ('"\tpj0 "',)], "t string") == ["12", "pj0"]
 
 
-def test_exact_quantiles_equal_percentile(spark, monkeypatch):
+def test_exact_quantiles_equal_percentile(spark):
     from termlens.operators import quantiles as Q
     df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 911) / 3).alias("a"),
                                   F.when(F.col("id") % 3 == 0, F.lit(5.0)).alias("b"), F.lit(None).cast("double").alias("c"))
     qs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    for size in (Q.BUCKET_VALUES, 20):                 # one bucket, many buckets
-        monkeypatch.setattr(Q, "BUCKET_VALUES", size)
-        got = {(r["g"], r["feature"]): [r[f"q{i}"] for i in range(len(qs))] for r in Q.exact_quantiles(df, ["a", "b", "c"], qs, ["g"]).collect()}
+    for accuracy in (Q.ACCURACY, 40):                  # groups ordered whole, groups bracketed by sketches
+        got = {(r["g"], r["feature"]): [r[f"q{i}"] for i in range(len(qs))]
+               for r in Q.exact_quantiles(df, ["a", "b", "c"], qs, ["g"], accuracy=accuracy).collect()}
         for r in df.groupBy("g").agg(F.percentile("a", F.array(*map(F.lit, qs))).alias("a"), F.percentile("b", F.array(*map(F.lit, qs))).alias("b")).collect():
             for c in "ab":
                 want = r[c]
