@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from termlens import config as C
 from termlens.operators import cluster as CL
 from termlens.operators import cluster_metrics as CM
+from termlens.operators import mixture as MX
+from termlens.operators import model_eval as EV
+from termlens.operators import model_store as MS
 from termlens.operators import prep as PP
 from termlens.operators.marts import MART_COLUMNS
 from termlens.operators.profiles import soft_labels
@@ -70,13 +73,26 @@ CTES["emb_cent"] = """
 # ---- M1-M8 ----
 
 @query("silhouette", """
+WITH s AS (SELECT vec_id, label, x FROM emb WHERE label IS NOT NULL ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 1024),
+d AS (SELECT s.vec_id, s.label AS la, e.label AS lb, list_distance(s.x, e.x) AS d FROM s JOIN emb e ON s.vec_id <> e.vec_id WHERE e.label IS NOT NULL),
+per AS (SELECT vec_id, la, lb, avg(d) AS md FROM d GROUP BY vec_id, la, lb),
+ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM per GROUP BY vec_id)
+SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab""")
+def q_silhouette(spark, sf_dir):
+    """M1: exact Euclidean silhouette of a fixed sample of rows (order of md5) against all rows."""
+    e = _emb(spark, sf_dir).where("label IS NOT NULL")
+    sample = e.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(EV.SILHOUETTE_ROWS)
+    return EV.silhouette(e, "x", "label", sample)
+
+
+@query("silhouette_sq", """
 WITH d AS (SELECT a.vec_id, a.label AS la, b.label AS lb,
                   list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d2
            FROM emb a JOIN emb b ON a.vec_id <> b.vec_id),
 per AS (SELECT vec_id, la, lb, avg(d2) AS md FROM d GROUP BY vec_id, la, lb),
 ab AS (SELECT vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM per GROUP BY vec_id)
 SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette_sq FROM ab""")
-def q_silhouette(spark, sf_dir):
+def q_silhouette_sq(spark, sf_dir):
     return CM.silhouette_sq(_emb(spark, sf_dir), "x", "label")
 
 
@@ -289,7 +305,7 @@ def q_scenario_compare(spark, sf_dir):
 # ---- fits (rows-only; invariants in tests) ----
 
 def _dims(spark, sf_dir):
-    return _scored(spark, sf_dir).select(*KEYS, *C.DIM_COLS).cache()
+    return _scored(spark, sf_dir).select(*KEYS, *C.DIM_COLS)
 
 
 def _screen_features(spark, sf_dir):
@@ -304,99 +320,129 @@ def _screen_features(spark, sf_dir):
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, sf_dir):
     z, keep = _screen_features(spark, sf_dir)
-    return CL.kmeans_sweep(z, keep, range(4, 9), n_init=2)
+    return CL.kmeans_sweep(z, keep)
 
 
 @query("kmeans_stability")
 def q_kmeans_stability(spark, sf_dir):
     z, keep = _screen_features(spark, sf_dir)
-    return CL.kmeans_stability(z, keep, range(4, 7))
+    return CL.kmeans_stability(z, keep)
 
 
 @query("gmm_select_bic")
 def q_gmm_select_bic(spark, sf_dir):
-    return CL.gmm_select_bic(_dims(spark, sf_dir), C.DIM_COLS, range(4, 9))[0]
-
-
-@query("gmm_score")
+    return CL.gmm_select_bic(_dims(spark, sf_dir), C.DIM_COLS)[0]
+
+
+def _fixed_model():
+    """A model stated by rule, so that scoring has an exact twin: component i, dimension r, c."""
+    import numpy as np
+    d = len(C.DIM_COLS)
+    mean = [[((i * (j + 2)) % 5 - 2) * 0.5 for j in range(d)] for i in range(K)]
+    factor = [[[1 + 0.1 * ((i + c) % 3) if r == c else 0.05 * ((i + r + c) % 4 - 1.5) if r < c else 0.0 for c in range(d)] for r in range(d)]
+              for i in range(K)]
+    return MX.Mixture(np.array([(i + 1) / (K * (K + 1) / 2) for i in range(K)]), np.array(mean), np.array(factor))
+
+
+def _stored_model(spark):
+    """The fixed model by way of its stored table, as a fitted one would come."""
+    import uuid
+    from termlens.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/termlens-model-{uuid.uuid4().hex}"
+    MS.save_mixture(spark, _fixed_model(), path)
+    return MS.load_mixture(spark, path)
+
+
+CTES["posterior"] = f"""
+  SELECT entity_id, period_key, {', '.join(f'max(p) FILTER (WHERE i = {i}) AS p_cluster_{i}' for i in range(8))} FROM (
+    SELECT entity_id, period_key, i, exp(z - mz) / sum(exp(z - mz)) OVER (PARTITION BY entity_id, period_key) AS p FROM (
+      SELECT *, max(z) OVER (PARTITION BY entity_id, period_key) AS mz FROM (
+        SELECT entity_id, period_key, y.i, ln((y.i + 1) / 36.0) + any_value(ld.s) - 3 * ln(2 * pi()) - 0.5 * sum(v * v) AS z
+        FROM (SELECT entity_id, period_key, i, c, sum((x - ((i * (r + 2)) % 5 - 2) * 0.5)
+                     * CASE WHEN r = c THEN 1 + 0.1 * ((i + c) % 3) ELSE 0.05 * ((i + r + c) % 4 - 1.5) END) AS v
+              FROM (SELECT entity_id, period_key, unnest([{', '.join(C.DIM_COLS)}]) AS x, unnest(range(6)) AS r FROM scored),
+                   range(8) AS a(i), range(6) AS b(c) WHERE r <= c GROUP BY entity_id, period_key, i, c) AS y
+        JOIN (SELECT i, sum(ln(1 + 0.1 * ((i + c) % 3))) AS s FROM range(8) AS a(i), range(6) AS b(c) GROUP BY i) AS ld ON ld.i = y.i
+        GROUP BY entity_id, period_key, y.i))) GROUP BY entity_id, period_key"""
+_P8 = [f"p_cluster_{i}" for i in range(8)]
+_P8_SQL = "[" + ", ".join(_P8) + "]"
+
+
+@query("gmm_score", "SELECT * FROM posterior")
 def q_gmm_score(spark, sf_dir):
-    d = _dims(spark, sf_dir)
-    m = CL.gmm_fit(CL.assemble(d, C.DIM_COLS), K, 42)
-    return CL.soft_assignment(m, d, KEYS, C.DIM_COLS).select(*KEYS, *[f"p_cluster_{i}" for i in range(K)])
+    """C4: posterior per component from a stored model; nothing is fitted."""
+    return MS.posterior_columns(_dims(spark, sf_dir), C.DIM_COLS, _stored_model(spark), _P8, KEYS)
 
 
-@query("soft_assignment_table")
+@query("soft_assignment_table", f"""
+SELECT entity_id, period_key, CAST(list_position({_P8_SQL}, list_max({_P8_SQL})) - 1 AS INTEGER) AS cluster_map, {', '.join(_P8)},
+       list_max({_P8_SQL}) AS p_max, list_sort({_P8_SQL}, 'DESC')[2] AS p_second,
+       list_max({_P8_SQL}) - list_sort({_P8_SQL}, 'DESC')[2] AS margin,
+       -list_sum(list_transform({_P8_SQL}, lambda x: least(greatest(x, 1e-12), 1.0) * ln(least(greatest(x, 1e-12), 1.0)))) AS entropy
+FROM posterior""")
 def q_soft_assignment_table(spark, sf_dir):
-    d = _dims(spark, sf_dir)
-    m = CL.gmm_fit(CL.assemble(d, C.DIM_COLS), K, 42)
-    return CL.soft_assignment(m, d, KEYS, C.DIM_COLS)
+    return MS.soft_assignment(_dims(spark, sf_dir), C.DIM_COLS, _stored_model(spark), KEYS)
+
+
+def _filled(mart):
+    """Every raw feature that has any value, median-filled."""
+    n = mart.agg(*[F.count(c).alias(c) for c in FEATS]).first()
+    raw = [c for c in FEATS if n[c]]
+    return PP.median_impute(mart, KEYS, raw, flags=False), raw
 
 
 @query("two_layer_cluster")
 def q_two_layer_cluster(spark, sf_dir):
     from termlens.operators.marts import materialized_mart
-    t = Tables(spark, sf_dir)
-    mart = materialized_mart(t)
-    from termlens.operators.profiles import scored_mart
-    dims = scored_mart(mart).select(*KEYS, *C.DIM_COLS)
-    raw = ["kccj_mean", "kccj_fail_rate", "jdcj_mean", "by1_mean", "fit3_zf_mean", "fit3_fhl_mean"]
-    filled = PP.median_impute(mart, KEYS, raw, flags=False)
-    df = dims.join(filled, KEYS).cache()
-    return CL.two_layer_cluster(df, KEYS, C.DIM_COLS, raw, k1=K, k2s=range(2, 5))
-
-
-@query("align_components")
+    from termlens.operators.scores import dimension_scores
+    mart = materialized_mart(Tables(spark, sf_dir))
+    filled, raw = _filled(mart)
+    df = dimension_scores(mart).join(filled, KEYS)
+    return CL.two_layer_cluster(df, KEYS, C.DIM_COLS, raw).data
+
+
+@query("align_components", f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT label % 4 AS a, vec_id % 4 AS b, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e WHERE label IS NOT NULL),
+ma AS (SELECT a, list(v ORDER BY i) AS m FROM (SELECT a, i, avg(v) AS v FROM u GROUP BY ALL) GROUP BY a),
+mb AS (SELECT b, list(v ORDER BY i) AS m FROM (SELECT b, i, avg(v) AS v FROM u GROUP BY ALL) GROUP BY b),
+d AS (SELECT a, b, list_distance(ma.m, mb.m) AS dist FROM ma, mb),
+p AS (SELECT w.b AS b0, x.b AS b1, y.b AS b2, z.b AS b3, w.dist + x.dist + y.dist + z.dist AS cost FROM d AS w, d AS x, d AS y, d AS z
+      WHERE w.a = 0 AND x.a = 1 AND y.a = 2 AND z.a = 3 AND len(list_distinct([w.b, x.b, y.b, z.b])) = 4 ORDER BY cost LIMIT 1)
+SELECT CAST(d.a AS INTEGER) AS component_a, CAST(d.b AS INTEGER) AS component_b, d.dist AS mean_distance
+FROM d, p WHERE d.b = [b0, b1, b2, b3][d.a + 1]""")
 def q_align_components(spark, sf_dir):
-    v = CL.assemble(_dims(spark, sf_dir), C.DIM_COLS).select("features").cache()
-    a, b = CL.gmm_fit(v, K, 11), CL.gmm_fit(v, K, 22)
-    ma = [list(map(float, g.mean)) for g in a.gaussians]
-    mb = [list(map(float, g.mean)) for g in b.gaussians]
-    perm = CL.align_components(ma, mb)
+    """C8 on two given component sets: the means of the embeddings by label % 4 and by vec_id % 4 (the SQL tries all orders)."""
     import math
-    return spark.createDataFrame([(i, perm[i], math.dist(ma[i], mb[perm[i]])) for i in range(K)],
+    x = _emb(spark, sf_dir).where("label IS NOT NULL").select((F.col("label") % 4).cast("int").alias("a"), (F.col("vec_id") % 4).cast("int").alias("b"), "x")
+    means = {side: [[v / n for v in s] for _, (n, s, _) in sorted(CM.cluster_sums(x, "x", side).items())] for side in ("a", "b")}
+    perm = CL.align_components(means["a"], means["b"])
+    return spark.createDataFrame([(i, j, math.dist(means["a"][i], means["b"][j])) for i, j in enumerate(perm)],
                                  "component_a int, component_b int, mean_distance double")
 
 
-_K_EVAL: dict = {}
-
-
-def _k_eval(spark, sf_dir):
-    """C7 result (two small driver-built tables) computed once per session and input folder."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-    if key not in _K_EVAL:
-        _K_EVAL[key] = CL.k_stability_eval(_dims(spark, sf_dir), C.DIM_COLS, ks=range(4, 9), seeds=(11, 22, 33))
-    return _K_EVAL[key]
-
-
 @query("k_stability_eval")
 def q_k_stability_eval(spark, sf_dir):
-    return _k_eval(spark, sf_dir)[1]
+    return CL.k_stability_eval(_dims(spark, sf_dir), C.DIM_COLS)[1]
 
 
 @query("choose_k")
 def q_choose_k(spark, sf_dir):
-    return CL.choose_k(_k_eval(spark, sf_dir)[1])
+    return CL.choose_k(CL.k_stability_eval(_dims(spark, sf_dir), C.DIM_COLS)[1])
 
 
 @query("impute_ab_test")
 def q_impute_ab_test(spark, sf_dir):
-    """E5: the same mixture fit on median-filled vs tier-imputed raw features, compared by BIC and by ARI
-    between the two labelings of the same rows."""
+    """E5: the two-layer fit and the seed stability at K = 8 on median-filled against tier-imputed features, ten metrics."""
     from termlens.operators.marts import materialized_mart
+    from termlens.operators.scores import dimension_scores
     mart = materialized_mart(Tables(spark, sf_dir))
-    raw = ["kccj_mean", "kccj_fail_rate", "jdcj_mean", "att_present_rate", "hw_submit_cnt", "online_bfb"]
-    base = PP.zscore_matrix(mart, KEYS, raw)
-    imp = PP.zscore_matrix(PP.tiered_impute(mart, "entity_id", "period_key", raw).data, KEYS, raw)
-    rows = []
-    labs = {}
-    for tag, df in (("baseline", base), ("imputed", imp)):
-        t, best, k = CL.gmm_select_bic(df, raw, range(4, 7))
-        r = t.orderBy("bic").first()
-        rows.append((tag, k, r["bic"], r["log_likelihood"]))
-        labs[tag] = CL.soft_assignment(best, df, KEYS, raw).select(*KEYS, F.col("cluster_map").alias(f"l_{tag}"))
-    ari = CM.adjusted_rand(labs["baseline"].join(labs["imputed"], KEYS), "l_baseline", "l_imputed").first()[0]
-    return spark.createDataFrame([(a, b, c, d, ari) for a, b, c, d in rows],
-                                 "scenario string, best_k int, bic double, log_likelihood double, ari_between double")
+    filled, raw = _filled(mart)
+    tiered = PP.tiered_impute(mart, "entity_id", "period_key", FEATS).data
+    frames = {"baseline": dimension_scores(mart).join(filled, KEYS),
+              "imputed": dimension_scores(tiered).join(PP.median_impute(tiered, KEYS, raw, flags=False), KEYS)}
+    got = CL.paired_experiment(frames, KEYS, C.DIM_COLS, raw, K)
+    return CL.compare_scenarios(got.metrics, "baseline", "imputed")
 
 
 # ---- A23, W4, T5, P26 ----

@@ -319,9 +319,17 @@ def q_density_grid(spark, sf_dir):
 
 @query("k_curves")
 def q_k_curves(spark, sf_dir):
-    """V9: K vs silhouette / DBI from the K-means sweep (rows of C1)."""
-    from termlens.plans.q_model import q_kmeans_sweep
-    return q_kmeans_sweep(spark, sf_dir).select("k", "silhouette_sq", "davies_bouldin")
+    """V9: curves over K (silhouette, Davies-Bouldin, mean ARI against the base seed; one fit for all) and the cumulative
+    variance over the number of principal components."""
+    from termlens.operators import cluster as CL
+    from termlens.operators import prep as PP
+    from termlens.plans.q_model import _screen_features
+    z, keep = _screen_features(spark, sf_dir)
+    metrics, stability = CL.kmeans_screening(z, keep)
+    long = metrics.selectExpr("k AS x", "stack(2, 'silhouette', silhouette, 'davies_bouldin', davies_bouldin) AS (curve, value)")
+    ari = stability.groupBy(F.col("k").alias("x")).agg(F.avg("ari_vs_base").alias("value")).withColumn("curve", F.lit("ari"))
+    pca = PP.pca_fit(z, keep)[1].select(F.col("component").alias("x"), F.col("cumulative_ratio").alias("value"), F.lit("pca_cumulative").alias("curve"))
+    return long.unionByName(ari).unionByName(pca).select("curve", "x", "value")
 
 
 @query("projection_points")

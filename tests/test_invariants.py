@@ -113,23 +113,6 @@ def test_optimal_assignment_vs_brute_force():
         assert sum(cost[i][got[i]] for i in range(k)) == pytest.approx(sum(cost[i][best[i]] for i in range(k)))
 
 
-def test_gmm_recovers_separated_mixture_and_bic(spark):
-    rnd = np.random.default_rng(11)
-    x = np.vstack([rnd.normal(m, 0.3, (150, 2)) for m in (0.0, 5.0, 10.0)])
-    lab = [0] * 150 + [1] * 150 + [2] * 150
-    df = spark.createDataFrame([(str(i), float(a), float(b), l) for i, ((a, b), l) in enumerate(zip(x, lab))],
-                               "k string, a double, b double, truth int")
-    t, best, k = CL.gmm_select_bic(df, ["a", "b"], [3], seeds=(1, 2, 3))
-    assert k == 3
-    r = t.where("k = 3").first()
-    assert r["bic"] == pytest.approx(-2 * r["log_likelihood"] + CL.n_params(3, 2) * math.log(450))
-    sa = CL.soft_assignment(best, df, ["k"], ["a", "b"])
-    ps = sa.select(sum(F.col(f"p_cluster_{i}") for i in range(3)).alias("s")).agg(F.min("s"), F.max("s")).first()
-    assert ps[0] == pytest.approx(1.0) and ps[1] == pytest.approx(1.0)
-    j = sa.join(df, "k")
-    assert CM.adjusted_rand(j, "cluster_map", "truth").first()[0] > 0.99
-
-
 def test_streaming_windows_equal_batch(spark, tmp_path):
     path = f"{SF_SMALL}/events.parquet"
     ck = str(tmp_path / "ck")
