@@ -229,13 +229,12 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 
 
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group (the smallest doc_id), columns unchanged; of repeated rows one stays.
-    Rows without doc_id cannot be told apart and pass unjudged."""
+    """One document of each near-duplicate group (the smallest doc_id; one without doc_id only where no other is in the group),
+    columns unchanged; of repeated rows one stays. Rows without doc_id are told apart by their texts."""
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id", th.alias("_th"), "text")
-    got = near_duplicates(ids, shingle, radius)
-    keep = got.groupBy("component").agg(F.min(F.struct("doc_id", "_th")).alias("k")).select(
+    got = near_duplicates(docs.select("doc_id", th.alias("_th"), "text"), shingle, radius)
+    keep = got.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k._th").alias("_kth"))
     rows = shielded(docs, "doc_id", "text").withColumn("_th", th).drop("text")
-    kept = rows.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_kth")), "left_semi")
-    return unshielded(kept.dropDuplicates(["doc_id", "_th"]), docs).unionByName(docs.where("doc_id IS NULL"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kth")), "left_semi")
+    return unshielded(kept.dropDuplicates(["doc_id", "_th"]), docs)

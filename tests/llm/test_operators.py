@@ -376,6 +376,15 @@ def test_keep_one_per_group(docs, empty):
     assert simhash.keep_one_per_group(empty).count() == 0
 
 
+def test_keep_one_judges_rows_without_id(spark):
+    rows = [(None, "one and the same text here")] * 30 + [(None, "another text of five words"), (7, "another text of five words"), (None, None), (None, "")]
+    kept = simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept if r["doc_id"] is not None) == [(7, "another text of five words")]
+    assert sorted(r["text"] or "" for r in kept if r["doc_id"] is None) == ["", "one and the same text here"]
+    only = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.simhash_components(only).count() == 0
+
+
 # ---------------------------------------------------------------- op8
 
 @pytest.mark.parametrize("capacity", [64, 2048])
