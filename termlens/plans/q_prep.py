@@ -262,6 +262,45 @@ def q_flag_outliers(spark, sf_dir):
     return PP.flag_outliers(_mart(spark, sf_dir), KEYS, FEATS)
 
 
+# ---- the whole chain: fill, winsorise, scale, drop, equalise, prune, flag ----
+
+def _chain_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(FEATS) for b in FEATS[i + 1:]]
+    each = lambda f: ", ".join(f(c) for c in FEATS)
+    gone = "CASE WHEN ends_with(lower(a), '_median') AND ends_with(lower(b), '_mean') THEN a ELSE b END"
+    return f"""
+WITH m AS (SELECT {each(lambda c: f"median({c}) AS {c}")} FROM mart),
+f AS MATERIALIZED (SELECT entity_id, period_key, {each(lambda c: f"coalesce(CAST(x.{c} AS DOUBLE), m.{c}) AS {c}")} FROM mart AS x, m),
+w AS (SELECT {each(lambda c: f"quantile_cont({c}, 0.01) AS l_{c}, quantile_cont({c}, 0.99) AS h_{c}")} FROM f),
+k AS MATERIALIZED (SELECT entity_id, period_key, {each(lambda c: f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, l_{c}), h_{c}) END AS {c}")} FROM f, w),
+r AS (SELECT {each(lambda c: f"median({c}) AS m_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS i_{c}")} FROM k),
+s AS MATERIALIZED (SELECT entity_id, period_key, {each(lambda c: f"({c} - m_{c}) / CASE WHEN i_{c} IS NULL OR i_{c} = 0 THEN 1 ELSE i_{c} END AS {c}")} FROM k, r),
+v AS (SELECT {each(lambda c: f"var_pop({c}) AS v_{c}, stddev_pop({c}) AS d_{c}")} FROM s),
+e AS MATERIALIZED (SELECT entity_id, period_key, {each(lambda c: f"{c} / CASE WHEN d_{c} IS NULL OR d_{c} <= 1e-12 THEN 1 ELSE d_{c} END AS {c}")} FROM s, v),
+low AS (SELECT feature FROM (SELECT {each(lambda c: f"v_{c} AS {c}")} FROM v) UNPIVOT (variance FOR feature IN ({', '.join(FEATS)})) WHERE variance <= 1e-8),
+rk AS MATERIALIZED (SELECT {each(lambda c: f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}")} FROM e),
+co AS (SELECT {', '.join(f"CASE WHEN count({a}) >= 500 AND count({b}) >= 500 THEN corr({a}, {b}) END AS p{i}" for i, (a, b) in enumerate(pairs))} FROM rk),
+cl AS (SELECT list_extract(a, CAST(substr(p, 2) AS INTEGER) + 1) AS a, list_extract(b, CAST(substr(p, 2) AS INTEGER) + 1) AS b, c FROM
+  (SELECT {"[" + ", ".join(f"'{a}'" for a, _ in pairs) + "]"} AS a, {"[" + ", ".join(f"'{b}'" for _, b in pairs) + "]"} AS b, p, c FROM
+   (SELECT * FROM co UNPIVOT (c FOR p IN ({', '.join(f'p{i}' for i in range(len(pairs)))}))))),
+gone AS (SELECT {gone} AS feature FROM cl WHERE NOT isnan(c) AND abs(c) > 0.9 AND a NOT IN (SELECT feature FROM low) AND b NOT IN (SELECT feature FROM low)),
+q AS (SELECT {each(lambda c: f"quantile_cont({c}, 0.01) AS l_{c}, quantile_cont({c}, 0.99) AS h_{c}")} FROM e),
+z AS (SELECT entity_id, period_key, unnest([{each(lambda c: f"{{'feature': '{c}', 'value': {c}, 'lo': l_{c}, 'hi': h_{c}}}")}]) AS u FROM e, q)
+SELECT entity_id, period_key, u.feature AS feature, u.value AS value, coalesce(CAST(u.value > u.hi AS INTEGER), 0) AS is_outlier_hi,
+       coalesce(CAST(u.value < u.lo AS INTEGER), 0) AS is_outlier_lo
+FROM z WHERE u.feature NOT IN (SELECT feature FROM low) AND u.feature NOT IN (SELECT feature FROM gone)"""
+
+
+@query("prep_chain", _chain_sql())
+def q_prep_chain(spark, sf_dir):
+    """Fit the chain, store it with a version, load it and replay it: values and outlier flags of the kept features."""
+    from termlens.operators import prep_chain as PC
+    from termlens.sources import files
+    mart = _mart(spark, sf_dir)
+    path = PC.fit_chain(mart, KEYS, FEATS).save(spark, files.scratch_path(spark, "chain"), "1")
+    return PC.PrepChain.load(spark, path).long(mart, KEYS)
+
+
 @query("zscore_matrix", "WITH f AS (SELECT entity_id, period_key, " + ", ".join(
     f"coalesce(CAST({c} AS DOUBLE), med_{c}) AS {c}" for c in FEATS) + f" FROM mart, (SELECT {_MED} FROM mart)) "
     "SELECT entity_id, period_key, " + ", ".join(
