@@ -221,6 +221,18 @@ def test_pii_windows_are_bounded_by_digits(spark):
     assert red[1000] == "call [PHONE] 750013 end" and "[CARD]" in red[1001] and c not in red[1001]
 
 
+def test_pii_addresses_within_long_runs(spark):
+    run = "x" * 300
+    texts = [f'{{"a":"{run}","mail":"user@müller.de"}}', 'href="mailto:user@müller.de">x', f"{run}@müller.de", "a@" * 500, "see <user@müller.de>, now",
+             "y" * 200_000 + "@" + "z." * 100_000]
+    rows = pii.base_spans(pii.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = {}
+    for r in pii.candidates(rows).where("kind = 'email'").collect():
+        got.setdefault(r["doc_id"], set()).add(texts[r["doc_id"]][r["start"]:r["end"]])
+    assert got[0] == got[1] == got[4] == {"user@müller.de"} and got[2] == {"x" * 64 + "@müller.de"}
+    assert all(len(x) <= 320 for x in got[5])
+
+
 def test_redact_keeps_columns_and_rows(docs, empty):
     got = pii.redact(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
