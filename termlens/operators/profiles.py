@@ -92,24 +92,60 @@ def drop_blank_groups(group_col: str) -> Column:
     return F.col(group_col).isNotNull() & ~g.isin(*BLANK_GROUPS)
 
 
-def group_profile_modes(profiles: DataFrame, group_col: str) -> DataFrame:
-    """A19 + A20: per (group, period) n, 8 mode shares, dominant mode (smallest id on ties), 6 dimension means,
-    15 metric means of the (4-place) profile values, rounded to 4 places exactly (mean_of_rounded). Null periods stay a group (dropna=False)."""
-    p = profiles.where(drop_blank_groups(group_col))
-    counts = [F.sum((F.col("mode_id") == i).cast("long")).alias(f"c{i}") for i in range(C.N_MODES)]
-    g = p.groupBy(group_col, "period_key").agg(
-        F.count(F.lit(1)).alias("n_records"), *counts,
-        *[mean_of_rounded(d).alias(f"{d}_mean") for d in C.DIM_COLS],
-        *[mean_of_rounded(m).alias(f"{m}_avg") for m in C.KEY_METRICS])
+def by_level(df: DataFrame, levels: dict[str, str], aggs: list[Column], period: str = "period_key") -> DataFrame:
+    """(level, group_name, period, aggregates): all group levels from one scan, one grouping set a level. Null group names
+    and null periods are groups of their own."""
+    cols = list(levels.values())
+    g = df.groupingSets([[c, period] for c in cols], *cols, period).agg(*[F.grouping(c).alias(f"_out{i}") for i, c in enumerate(cols)], *aggs)
+    level, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (lv, c) in enumerate(levels.items()):
+        level = F.when(F.col(f"_out{i}") == 0, F.lit(lv)).otherwise(level)
+        name = F.when(F.col(f"_out{i}") == 0, F.col(c).cast("string")).otherwise(name)
+    return g.withColumns({"level": level, "group_name": name}).drop(*cols, *[f"_out{i}" for i in range(len(cols))])
+
+
+def _mode_aggs() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_records"), *[F.sum((F.col("mode_id") == i).cast("long")).alias(f"c{i}") for i in range(C.N_MODES)],
+            *[mean_of_rounded(d).alias(f"{d}_mean") for d in C.DIM_COLS], *[mean_of_rounded(m).alias(f"{m}_avg") for m in C.KEY_METRICS]]
+
+
+def _mode_columns(g: DataFrame, keys: list[str]) -> DataFrame:
     cnt = F.array(*[F.col(f"c{i}") for i in range(C.N_MODES)])
     dom = (F.array_position(cnt, F.array_max(cnt)) - 1).cast("int")
     return g.select(
-        group_col, "period_key", "n_records",
+        *keys, "n_records",
         *[np_round(F.col(f"c{i}") / F.col("n_records"), 4).alias(f"mode_{i}_pct") for i in range(C.N_MODES)],
         dom.alias("dominant_mode_id"), mode_name_expr(dom).alias("dominant_mode_name"),
         *[f"{d}_mean" for d in C.DIM_COLS], *[f"{m}_avg" for m in C.KEY_METRICS])
 
 
+def group_profile_modes(profiles: DataFrame, group_col: str) -> DataFrame:
+    """A19 + A20: per (group, period) n, 8 mode shares, dominant mode (smallest id on ties), 6 dimension means,
+    15 metric means of the (4-place) profile values, rounded to 4 places exactly (mean_of_rounded). Null periods stay a group (dropna=False)."""
+    g = profiles.where(drop_blank_groups(group_col)).groupBy(group_col, "period_key").agg(*_mode_aggs())
+    return _mode_columns(g, [group_col, "period_key"])
+
+
+def level_profile_modes(profiles: DataFrame, levels: dict[str, str] = C.GROUP_LEVELS) -> DataFrame:
+    """A19 + A20 + P34: the same for all levels in one scan, as (level, group_name, period_key, ...)."""
+    g = by_level(profiles, levels, _mode_aggs()).where(drop_blank_groups("group_name"))
+    return _mode_columns(g, ["level", "group_name", "period_key"])
+
+
+#: fixed values: group levels of the cluster profiles
+CLUSTER_LEVELS = {"sex": "XB", "ethnicity": "MZMC", "politics": "ZZMMMC", "college": "XSM", "major": "ZYM", "class": "CLASS_NAME"}
+
+
+def level_profile_clusters(labels: DataFrame, attrs: DataFrame, levels: dict[str, str] = CLUSTER_LEVELS, label_col: str = "mode_id",
+                           k: int = C.N_MODES, metrics: list[str] = C.KEY_METRICS) -> DataFrame:
+    """A18 at all levels in one scan: (level, group_name, period_key, n, cluster shares, metric means); the share of a cluster
+    that a group does not have is null (Q8)."""
+    counts = [F.sum((F.col(label_col) == i).cast("long")).alias(f"c{i}") for i in range(k)]
+    g = by_level(labels.join(attrs, "entity_id", "left"), levels, [F.count(F.lit(1)).alias("n"), *counts, *[F.avg(m).alias(f"{m}_mean") for m in metrics]])
+    return g.select("level", "group_name", "period_key", "n",
+                    *[F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") / F.col("n")).alias(f"cluster_{i}_pct") for i in range(k)], *[f"{m}_mean" for m in metrics])
+
+
 def group_profile_clusters(labels: DataFrame, attrs: DataFrame, group_col: str, label_col: str = "mode_id",
                            k: int = C.N_MODES, metrics: list[str] | None = None, fill_absent=None) -> DataFrame:
     """Per (group, period) cluster shares and metric means; shares of clusters absent from a group are

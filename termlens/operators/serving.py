@@ -119,14 +119,8 @@ def class_rows_nonempty(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
 
 
 def long_group_table(profiles: DataFrame) -> DataFrame:
-    """P34 + A19: all levels in one long table (level, group_name, ...)."""
-    out = None
-    for lv, col in C.GROUP_LEVELS.items():
-        g = PR.group_profile_modes(profiles, col)
-        g = g.select(F.lit(lv).alias("level"), F.col(col).cast("string").alias("group_name"),
-                     *[c for c in g.columns if c != col])
-        out = g if out is None else out.unionByName(g)
-    return out
+    """P34 + A19: all levels in one long table (level, group_name, ...), from one scan."""
+    return PR.level_profile_modes(profiles)
 
 
 def level_rows(long_groups: DataFrame, level: str) -> DataFrame:

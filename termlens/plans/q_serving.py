@@ -194,17 +194,23 @@ def q_dominant_mode(spark, sf_dir):
     return _groups(spark, sf_dir).select(GCOL, "period_key", "dominant_mode_id", "dominant_mode_name")
 
 
-@query("group_profile_clusters", f"""
-SELECT b.XSM, s.period_key, count(*) AS n,
-       {', '.join(f'CASE WHEN sum(CASE WHEN mode_id = {i} THEN 1 ELSE 0 END) > 0 THEN sum(CASE WHEN mode_id = {i} THEN 1 ELSE 0 END) / count(*) END AS cluster_{i}_pct' for i in range(K))},
-       avg(s.kccj_mean) AS kccj_mean_mean
-FROM scored s LEFT JOIN src_basic_info b ON s.entity_id = b.XH GROUP BY b.XSM, s.period_key""")
+_CLUSTER_COLS = ", ".join(f"CASE WHEN sum(CASE WHEN mode_id = {i} THEN 1 ELSE 0 END) > 0 THEN sum(CASE WHEN mode_id = {i} THEN 1 ELSE 0 END) / count(*) END AS cluster_{i}_pct"
+                          for i in range(8))
+_METRIC_MEANS = ", ".join(f"avg(s.{m}) AS {m}_mean" for m in (
+    "kccj_mean", "kccj_fail_rate", "jdcj_mean", "by1_mean", "att_present_rate", "att_absent_rate", "att_event_cnt", "hw_submit_cnt",
+    "hw_ungraded_rate", "hw_duration_median", "online_bfb", "sch_amt_sum_term", "comp_cnt_term", "cet_score_max", "fit3_zf_mean"))
+
+
+@query("group_profile_clusters", " UNION ALL ".join(f"""
+SELECT '{level}' AS level, CAST({col} AS VARCHAR) AS group_name, s.period_key, count(*) AS n, {_CLUSTER_COLS}, {_METRIC_MEANS}
+FROM scored s LEFT JOIN src_basic_info b ON s.entity_id = b.XH LEFT JOIN class_map c ON s.entity_id = c.XH GROUP BY {col}, s.period_key"""
+    for level, col in (("sex", "b.XB"), ("ethnicity", "b.MZMC"), ("politics", "b.ZZMMMC"), ("college", "b.XSM"), ("major", "b.ZYM"), ("class", "c.CLASS_NAME"))))
 def q_group_profile_clusters(spark, sf_dir):
     from termlens.sources import bindings as B
     t = _t(spark, sf_dir)
-    s = PR.soft_labels(t)
-    attrs = B.basic_info(t).select(F.col("XH").alias("entity_id"), "XSM")
-    return PR.group_profile_clusters(s, attrs, "XSM", metrics=["kccj_mean"])
+    cls = PR.most_frequent_class(t).select(F.col("XH").alias("entity_id"), "CLASS_NAME")
+    attrs = B.basic_info(t).select(F.col("XH").alias("entity_id"), "XB", "MZMC", "ZZMMMC", "XSM", "ZYM").join(cls, "entity_id", "full")
+    return PR.level_profile_clusters(PR.soft_labels(t), attrs)
 
 
 @query("mode_definitions", f"""
