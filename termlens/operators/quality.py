@@ -146,3 +146,26 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, salt
     s = s.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1")
     w2 = Window.partitionBy(group).orderBy(*order)
     return s.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("_salt")
+
+
+# ---- A39: quality of period keys ----
+
+KEY_FORMAT = r"^\d{4}-\d{4}-[12]$"
+COVERAGE_TARGET = 0.8
+
+
+def key_conflicts(df: DataFrame, by: list[str], entity: str, event: str, key: str) -> DataFrame:
+    """Per `by`: distinct (entity, event) pairs and those that carry more than one key. Two levels of aggregation: the least and
+    greatest key of a pair tell whether they differ, so no pair keeps a set and a hot entity is combined map-side."""
+    pair = df.groupBy(*by, entity, event).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    return pair.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("_lo") != F.col("_hi")).alias("conflicting_events"))
+
+
+def period_key_quality(keys: DataFrame) -> DataFrame:
+    """Per source the share of rows with a key (target 80 %), distinct keys, the share in the `YYYY-YYYY-{1,2}` format, and how
+    many (entity, event) pairs have conflicting keys. keys: source, entity, event, pk."""
+    cov = F.avg(F.col("pk").isNotNull().cast("double"))
+    rates = keys.groupBy("source").agg(cov.alias("coverage"), F.countDistinct("pk").alias("n_keys"),
+                                       F.avg(F.coalesce(F.col("pk").rlike(KEY_FORMAT), F.lit(False)).cast("double")).alias("format_ok_rate"),
+                                       (cov >= COVERAGE_TARGET).alias("meets_target"))
+    return rates.join(key_conflicts(keys, ["source"], "entity", "event", "pk"), "source")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termlens import config as C
 from termlens.functions import keys as KY
+from termlens.operators import quality as QL
 from termlens.functions.nulls import is_missing_value
 from termlens.operators.marts import MART_COLUMNS, build_feature_mart, materialized_mart
 from termlens.plans.registry import query
@@ -54,15 +55,15 @@ def q_scan_directory(spark, sf_dir):
 
 
 @query("convert_files", """
-SELECT 'signin' AS dataset, true AS ok, count(*) AS rows FROM src_signin
-UNION ALL SELECT 'online', true, count(*) FROM src_online""")
+SELECT 'signin' AS dataset, true AS ok, count(*) AS rows, 'UTF-8' AS encoding, 'converted' AS message FROM src_signin
+UNION ALL SELECT 'online', true, count(*), 'UTF-8', 'converted' FROM src_online""")
 def q_convert_files(spark, sf_dir):
     t = _t(spark, sf_dir)
     src = FS.scratch_path(spark, "convert-src")
     FS.write_csv(B.signin(t).select("LOGIN_NAME", "ACTIVE_STATE"), f"{src}/signin")
     FS.write_csv(B.online(t).select("LOGIN_NAME", "BFB"), f"{src}/online")
-    st = FS.convert_files(spark, src, FS.scratch_path(spark, "convert-dst"), None)
-    return st.groupBy("dataset").agg(F.min("ok").alias("ok"), F.sum("rows").alias("rows"))
+    st = FS.convert_files(spark, src, FS.scratch_path(spark, "convert-dst"))
+    return st.groupBy("dataset").agg(F.min("ok").alias("ok"), F.sum("rows").alias("rows"), F.max("encoding").alias("encoding"), F.max("message").alias("message"))
 
 
 @query("sink_table", "SELECT period_key, count(*) AS n, sum(grade_course_cnt) AS courses FROM mart GROUP BY period_key")
@@ -187,29 +188,29 @@ def q_table_overview(spark, sf_dir):
 
 # ---- A39 period-key quality ----
 
-_PK_RE = r"^\d{4}-\d{4}-[12]$"
-
-
 @query("period_key_quality", """
 WITH k AS (
-  SELECT 'grade_code' AS source, XH AS entity, CASE WHEN trim(ZXJXJHH) = '' OR lower(trim(ZXJXJHH)) = 'nan' THEN NULL ELSE trim(ZXJXJHH) END AS pk FROM src_grades
-  UNION ALL SELECT 'contest_date', XHHGH, """ + "(CAST(year(HJSJ_PARSED) AS VARCHAR) || '-' || CAST(year(HJSJ_PARSED) + 1 AS VARCHAR) || '-' || CASE WHEN month(HJSJ_PARSED) >= 8 THEN '1' ELSE '2' END)" + """ FROM src_contests
-  UNION ALL SELECT 'award_year', XSBH, CAST(TRY_CAST(TRY_CAST(PDXN AS DOUBLE) AS INTEGER) AS VARCHAR) || '-' || CAST(TRY_CAST(TRY_CAST(PDXN AS DOUBLE) AS INTEGER) + 1 AS VARCHAR) || '-2' FROM src_awards)
+  SELECT 'grade_code' AS source, XH AS entity, [CAST(KCCJ AS DOUBLE), CAST(JDCJ AS DOUBLE), CAST(BY1 AS DOUBLE)] AS event,
+         CASE WHEN trim(ZXJXJHH) = '' OR lower(trim(ZXJXJHH)) = 'nan' THEN NULL ELSE trim(ZXJXJHH) END AS pk FROM src_grades
+  UNION ALL SELECT 'contest_date', XHHGH, [CAST(epoch(CAST(HJSJ_PARSED AS TIMESTAMP)) AS DOUBLE)], """ + "(CAST(year(HJSJ_PARSED) AS VARCHAR) || '-' || CAST(year(HJSJ_PARSED) + 1 AS VARCHAR) || '-' || CASE WHEN month(HJSJ_PARSED) >= 8 THEN '1' ELSE '2' END)" + """ FROM src_contests
+  UNION ALL SELECT 'award_year', XSBH, [CAST(FFJE AS DOUBLE)], CAST(TRY_CAST(TRY_CAST(PDXN AS DOUBLE) AS INTEGER) AS VARCHAR) || '-' || CAST(TRY_CAST(TRY_CAST(PDXN AS DOUBLE) AS INTEGER) + 1 AS VARCHAR) || '-2' FROM src_awards),
+c AS (SELECT source, count(*) AS n_events, count(*) FILTER (WHERE keys > 1) AS conflicting_events
+      FROM (SELECT source, entity, event, count(DISTINCT pk) AS keys FROM k GROUP BY source, entity, event) GROUP BY source)
 SELECT source, avg(CASE WHEN pk IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage, count(DISTINCT pk) AS n_keys,
        avg(CASE WHEN regexp_matches(pk, '^\\d{4}-\\d{4}-[12]$') THEN 1.0 ELSE 0.0 END) AS format_ok_rate,
-       avg(CASE WHEN pk IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8 AS meets_target
-FROM k GROUP BY source""")
+       avg(CASE WHEN pk IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8 AS meets_target, any_value(n_events) AS n_events, any_value(conflicting_events) AS conflicting_events
+FROM k JOIN c USING (source) GROUP BY source""")
 def q_period_key_quality(spark, sf_dir):
-    """Per candidate key source the share of rows with a key (target >= 80 %), distinct keys, and the share
-    of keys in the `YYYY-YYYY-{1,2}` format."""
+    """A39 over the three key sources; an event is what the record itself says (marks, date, amount)."""
     t = _t(spark, sf_dir)
-    k = B.grades(t).select(F.lit("grade_code").alias("source"), KY.term_from_code("ZXJXJHH").alias("pk")) \
-        .unionByName(B.contests(t).select(F.lit("contest_date").alias("source"), KY.term_from_date("HJSJ_PARSED").alias("pk"))) \
-        .unionByName(B.awards(t).select(F.lit("award_year").alias("source"), KY.term_from_year("PDXN").alias("pk")))
-    cov = F.avg(F.col("pk").isNotNull().cast("double"))
-    return k.groupBy("source").agg(cov.alias("coverage"), F.countDistinct("pk").alias("n_keys"),
-                                   F.avg(F.coalesce(F.col("pk").rlike(_PK_RE), F.lit(False)).cast("double")).alias("format_ok_rate"),
-                                   (cov >= 0.8).alias("meets_target"))
+
+    def part(df, source, entity, event, key):
+        return df.select(F.lit(source).alias("source"), F.col(entity).alias("entity"), F.array(*[c.cast("double") for c in event]).alias("event"), key.alias("pk"))
+
+    k = part(B.grades(t), "grade_code", "XH", [F.col(c) for c in ("KCCJ", "JDCJ", "BY1")], KY.term_from_code("ZXJXJHH")) \
+        .unionByName(part(B.contests(t), "contest_date", "XHHGH", [F.col("HJSJ_PARSED").cast("timestamp")], KY.term_from_date("HJSJ_PARSED"))) \
+        .unionByName(part(B.awards(t), "award_year", "XSBH", [F.col("FFJE")], KY.term_from_year("PDXN")))
+    return QL.period_key_quality(k)
 
 
 # ---- windowed event features (batch twin of the streaming operator) ----
