@@ -33,6 +33,13 @@ def mode_name_expr(c) -> Column:
     return F.element_at(m, (F.col(c) if isinstance(c, str) else c).cast("int"))
 
 
+def subtype_name_expr(c, fallback: bool = False) -> Column:
+    """Subtype name as an inline map; unknown ids are null, or the fallback word with the id."""
+    x = F.col(c) if isinstance(c, str) else c
+    name = F.element_at(F.create_map(*[v for k, n in C.SUBTYPE_NAMES.items() for v in (F.lit(k), F.lit(n))]), x.cast("int"))
+    return F.coalesce(name, F.concat(F.lit(C.SUBTYPE_FALLBACK), x.cast("string"))) if fallback else name
+
+
 def most_frequent_class(t: Tables) -> DataFrame:
     """Per entity the most frequent (class id, class name) over homework and sign-in rows; ties -> smallest
     key (Q10: null classes never vote). One aggregate: min(struct(-n, id, name))."""
@@ -62,21 +69,32 @@ def scored_mart(mart: DataFrame, carry: list | None = None) -> DataFrame:
     return S.fixture_soft_labels(mart, extra=[*dims, *C.KEY_METRICS, *more])
 
 
-def soft_labels(t: Tables, materialize: bool = True) -> DataFrame:
-    mart = materialized_mart(t) if materialize else build_feature_mart(t)
-    return scored_mart(mart)
+LABEL_COLS = ["mode_id", *[f"p_mode_{i}" for i in range(C.N_MODES)], "mode_pmax", "mode_margin", "mode_entropy", "subtype_id", "subtype_note"]
 
 
-def entity_profiles(t: Tables, materialize: bool = True) -> DataFrame:
-    """Labels + dims + key metrics + basic attributes + class, with mode name and evidence text;
-    floats rounded to 4 places (P25)."""
-    sm = soft_labels(t, materialize)
+def soft_labels(t: Tables, materialize: bool = True, labels: DataFrame | None = None) -> DataFrame:
+    """Labels, dimension scores and key metrics by (entity, period). `labels` are those of a fit (the output of
+    `cluster.two_layer_cluster`, keys of any type); without them the fixed-rule ones are computed."""
+    mart = materialized_mart(t) if materialize else build_feature_mart(t)
+    if labels is None:
+        return scored_mart(mart)
+    missing = [c for c in [*KEYS, *LABEL_COLS] if c not in labels.columns]
+    if missing:
+        raise ValueError(f"label columns missing: {missing}")
+    got = labels.select(*KEYS, *LABEL_COLS)
+    return S.dimension_scores(mart).join(mart.select(*KEYS, *C.KEY_METRICS), KEYS).join(got, KEYS)
+
+
+def entity_profiles(t: Tables, materialize: bool = True, labels: DataFrame | None = None) -> DataFrame:
+    """Labels + dims + key metrics + basic attributes + class, with mode and subtype names and evidence text;
+    floats rounded to 4 places (P25). `labels`: see `soft_labels`."""
+    sm = soft_labels(t, materialize, labels)
     basic = B.basic_info(t).select(F.col("XH").alias("entity_id"), "XB", "XSM", "ZYM")
     cls = most_frequent_class(t).select(F.col("XH").alias("entity_id"), "CLASS_NAME")
     df = sm.join(basic, "entity_id", "left").join(cls, "entity_id", "left")
     df = df.select(*KEYS, "XB", "XSM", "ZYM", "CLASS_NAME", "mode_id", mode_name_expr("mode_id").alias("mode_name"),
-                   "mode_pmax", "mode_margin", "mode_entropy", *P_COLS, "subtype_id", "subtype_note",
-                   S.evidence_text().alias("mode_evidence"), *C.DIM_COLS, *C.KEY_METRICS)
+                   "mode_pmax", "mode_margin", "mode_entropy", *P_COLS, "subtype_id", subtype_name_expr("subtype_id").alias("subtype_name"),
+                   "subtype_note", S.evidence_text().alias("mode_evidence"), *C.DIM_COLS, *C.KEY_METRICS)
     return round_floats(df, 4)
 
 
@@ -196,7 +214,7 @@ def subtype_definitions(labels: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     g = labels.where(F.col("subtype_id").isNotNull()).groupBy("mode_id", "subtype_id").agg(F.count(F.lit(1)).alias("size"))
     return g.select("mode_id", "subtype_id", mode_name_expr("mode_id").alias("mode_name"),
-                    F.concat(F.lit("subtype "), F.col("subtype_id").cast("string")).alias("name"), "size",
+                    subtype_name_expr("subtype_id", fallback=True).alias("name"), "size",
                     np_round(F.col("size") / F.sum("size").over(Window.partitionBy("mode_id")), 4).alias("pct_in_mode"))
 
 

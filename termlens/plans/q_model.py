@@ -496,12 +496,12 @@ def q_top_loadings(spark, sf_dir):
 # The profile table's published column order (names that are absent are skipped).
 PROFILE_ORDER = ["entity_id", "period_key", "XB", "XSM", "ZYM", "CLASS_NAME", "mode_id", "mode_name", "mode_pmax",
                  "mode_margin", "mode_entropy", *[f"p_mode_{i}" for i in range(K)], "subtype_id", "subtype_name",
-                 "subtype_note", "mode_evidence", *C.DIM_COLS, *C.KEY_METRICS]
+                 "subtype_note", "subtype_pmax", "mode_evidence", *C.DIM_COLS, *C.KEY_METRICS]
 
 
-@query("select_existing", "SELECT " + ", ".join(c for c in PROFILE_ORDER if c != "subtype_name") + " FROM profiles")
+@query("select_existing", "SELECT " + ", ".join(c for c in PROFILE_ORDER if c != "subtype_pmax") + " FROM profiles")
 def q_select_existing(spark, sf_dir):
-    """Ordered column list, absent columns (here `subtype_name`) skipped."""
+    """Ordered column list, absent columns (here `subtype_pmax`) skipped."""
     from termlens.operators.profiles import entity_profiles
     p = entity_profiles(Tables(spark, sf_dir))
     return p.select(*[c for c in PROFILE_ORDER if c in p.columns])

@@ -79,9 +79,10 @@ def q_subtype_codec(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("label_lookup", f"SELECT entity_id, period_key, mode_id, {X.mode_name_sql('mode_id')} AS mode_name FROM scored")
+@query("label_lookup", f"SELECT entity_id, period_key, mode_id, {X.mode_name_sql('mode_id')} AS mode_name, subtype_id, {X.subtype_name_sql('subtype_id')} AS subtype_name FROM scored")
 def q_label_lookup(spark, sf_dir):
-    return _scored(spark, sf_dir).select(*KEYS, "mode_id", PR.mode_name_expr("mode_id").alias("mode_name"))
+    return _scored(spark, sf_dir).select(*KEYS, "mode_id", PR.mode_name_expr("mode_id").alias("mode_name"), "subtype_id",
+                                         PR.subtype_name_expr("subtype_id").alias("subtype_name"))
 
 
 @query("score_level", "SELECT entity_id, period_key, " + ", ".join(
@@ -226,7 +227,7 @@ def q_mode_definitions(spark, sf_dir):
 
 
 @query("subtype_definitions", f"""
-SELECT mode_id, subtype_id, {X.mode_name_sql('mode_id')} AS mode_name, 'subtype ' || CAST(subtype_id AS VARCHAR) AS name,
+SELECT mode_id, subtype_id, {X.mode_name_sql('mode_id')} AS mode_name, coalesce({X.subtype_name_sql('subtype_id')}, '子类' || CAST(subtype_id AS VARCHAR)) AS name,
        size, round_even(size / sum(size) OVER (PARTITION BY mode_id), 4) AS pct_in_mode
 FROM (SELECT mode_id, subtype_id, count(*) AS size FROM scored WHERE subtype_id IS NOT NULL GROUP BY mode_id, subtype_id)""")
 def q_subtype_definitions(spark, sf_dir):

@@ -18,6 +18,10 @@ def mode_name_sql(c: str) -> str:
     return "(CASE " + " ".join(f"WHEN {c} = {i} THEN {q(C.MODE_NAMES[i])}" for i in range(K)) + " END)"
 
 
+def subtype_name_sql(c: str) -> str:
+    return f"map_extract_value(MAP([{', '.join(str(k) for k in C.SUBTYPE_NAMES)}], [{', '.join(q(v) for v in C.SUBTYPE_NAMES.values())}]), {c})"
+
+
 def score_level_sql(x: str) -> str:
     w = f"(CASE WHEN {x} > 0 THEN '高' ELSE '低' END)"
     return (f"(CASE WHEN abs({x}) >= {C.LEVEL_STRONG} THEN '显著偏' || {w} WHEN abs({x}) >= {C.LEVEL_CLEAR} THEN '明显偏' || {w} "
@@ -119,7 +123,7 @@ _ROUND = ["mode_pmax", "mode_margin", "mode_entropy", *P_COLS, *C.DIM_COLS]
 CTES["profiles"] = f"""
   SELECT s.entity_id, s.period_key, b.XB, b.XSM, b.ZYM, cm.CLASS_NAME, s.mode_id, {mode_name_sql('s.mode_id')} AS mode_name,
          {', '.join(_r4(c) for c in ['mode_pmax', 'mode_margin', 'mode_entropy', *P_COLS])},
-         s.subtype_id, s.subtype_note, {evidence_sql()} AS mode_evidence,
+         s.subtype_id, {subtype_name_sql('s.subtype_id')} AS subtype_name, s.subtype_note, {evidence_sql()} AS mode_evidence,
          {', '.join(_r4(c) for c in C.DIM_COLS)},
          {', '.join(f'round_even(CAST({m} AS DOUBLE), 4) AS {m}' if m not in ('att_event_cnt', 'hw_submit_cnt') else m
                     for m in C.KEY_METRICS)}
