@@ -44,29 +44,28 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[st
 def _positions(base: DataFrame, keys: list[str], n_cols: int, qs: list[float], margin: float, accuracy: int) -> DataFrame:
     """(keys, _j, _n, _lo0, _hi0, ...): the values around every wanted position; null where a bracket missed it."""
     probes = [p for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))]
-    sketch = base.groupBy(*keys).agg(
-        *[F.count(f"_v{j}").alias(f"_n{j}") for j in range(n_cols)],
-        *[F.percentile_approx(f"_v{j}", probes, accuracy).alias(f"_b{j}") for j in range(n_cols)])
+    probe = "array(" + ", ".join(f"double('{p!r}')" for p in probes) + ")"
+    sketch = base.groupBy(*keys).agg(*[F.expr(f"count(_v{j})").alias(f"_n{j}") for j in range(n_cols)],
+                                     *[F.expr(f"percentile_approx(_v{j}, {probe}, {accuracy})").alias(f"_b{j}") for j in range(n_cols)])
     sketch = stored(sketch, "sketch")
     cells = _null_safe(base, sketch, keys) if keys else base.crossJoin(F.broadcast(sketch))          # without keys: one row
 
-    def bounds(j: int, i: int) -> tuple[Column, Column]:
-        whole = F.lit(margin >= 1.0) | (F.col(f"_n{j}") <= accuracy)
-        return (F.when(whole, F.lit(float("-inf"))).otherwise(F.col(f"_b{j}")[2 * i]), F.when(whole, F.lit(float("inf"))).otherwise(F.col(f"_b{j}")[2 * i + 1]))
+    # as SQL text: thousands of column objects would cost more than the scans
+    pairs = [(j, i) for j in range(n_cols) for i in range(len(qs))]
+    whole = "true" if margin >= 1.0 else f"_n{{j}} <= {accuracy}"
+    lo = f"IF({whole}, double('-Infinity'), _b{{j}}[{{lo}}])"
+    hi = f"IF({whole}, double('Infinity'), _b{{j}}[{{hi}}])"
 
-    below, inside = [], []
-    for j in range(n_cols):
-        v = F.col(f"_v{j}")
-        for i in range(len(qs)):
-            lo, hi = bounds(j, i)
-            below.append(F.count_if(v < lo).alias(f"_u{j}_{i}"))
-            inside.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), v.alias("_v"))))
-    under = cells.groupBy(*keys).agg(*below)
-    ranks = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(i).alias("_i"), F.col(f"_n{j}").alias("_n"), F.col(f"_u{j}_{i}").alias("_u"),
-                               F.lit(float(q)).alias("_q")) for j in range(n_cols) for i, q in enumerate(qs)])
+    def each(text: str, j: int, i: int) -> str:
+        return text.format(j=j, i=i, lo=2 * i, hi=2 * i + 1, q=repr(float(qs[i])))
+
+    under = cells.groupBy(*keys).agg(*[F.expr(each(f"count_if(_v{{j}} < {lo})", j, i)).alias(f"_u{j}_{i}") for j, i in pairs])
+    ranks = F.expr("array(" + ", ".join(each("named_struct('_j', {j}, '_i', {i}, '_n', _n{j}, '_u', _u{j}_{i}, '_q', double('{q}'))", j, i) for j, i in pairs) + ")")
+    inside = F.expr("array_compact(array(" + ", ".join(each(
+        f"CASE WHEN _v{{j}} >= {lo} AND _v{{j}} <= {hi} THEN named_struct('_j', {{j}}, '_i', {{i}}, '_v', _v{{j}}) END", j, i) for j, i in pairs) + "))")
     wide = _null_safe(under, sketch, keys) if keys else under.crossJoin(F.broadcast(sketch))
     ranks = wide.select(*keys, F.explode(ranks).alias("_r")).select(*keys, "_r.*").where("_n > 0")
-    kept = cells.select(*keys, F.explode(F.array_compact(F.array(*inside))).alias("_c")).select(*keys, "_c.*")
+    kept = cells.select(*keys, F.explode(inside).alias("_c")).select(*keys, "_c.*")
     kept = kept.groupBy(*keys, "_j", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys, "_j", "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
