@@ -8,7 +8,8 @@ bits are packed. The share of equal bins then holds chance agreements of 2^-BITS
 
 Edge cases: null text = empty = no words; fewer words than a shingle: the whole sequence is one shingle; equal texts have
 equal fingerprints; documents follow each other by descending doc_id (nulls last, ties by content hash); the only
-document follows itself; repeated rows each get a row.
+document follows itself; repeated rows each get a row; an empty table gives no rows; very long texts are hashed whole (one array
+of shingle hashes a text); only doc_id and text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ frequency threshold (at most `FREQUENT` of them, a bounded broadcast) are scored
 their counts in a join and are summed per document.
 
 Edge cases: null text = empty = the end token alone; no training document: N = V = 0, every score 0; a null doc_id trains and
-is not held out; repeated rows are scored (and counted) each.
+is not held out; repeated rows are scored (and counted) each; words of equal frequency are ordered by their hash; very long texts
+are scored whole, a slice at a time; only doc_id and text are read, so other columns of any name do not matter. Words are told apart
+by a 64-bit hash where they are frequent, by their text where they are not.
 """
 
 from __future__ import annotations

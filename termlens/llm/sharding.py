@@ -11,7 +11,8 @@ exact: documents without links (and what exceeds a shard's target) are dealt by
 so the counts of all shards differ by at most one (law `rows`).
 
 Edge cases: null text = empty text for links and checksum, its size is 1; an empty table gives no rows; fewer rows than shards
-leave shards empty; repeated rows are linked and placed each; ties between shards are broken by a hash of the group.
+leave shards empty; repeated rows are linked and placed each; ties between shards are broken by a hash of the group; very long
+texts count with their bytes and are never copied; only doc_id and text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ broadcast; a list too long for it only passes more false positives to the exact
 
 Edge cases: a null URL or one without `://` has empty host and path, no rule, no canonical form and is allowed; an
 empty list blocks nothing; repeated rows stay repeated; every input column is kept unless it clashes with an output
-column, in which case the output wins.
+column, in which case the output wins; rules of equal length for one URL cannot differ in their verdict (a host and path name
+one rule); very long URLs are judged whole by linear patterns.
 """
 
 from __future__ import annotations
