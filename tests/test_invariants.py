@@ -10,7 +10,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from paths import SF_SMALL
 from termlens.operators import cluster as CL
