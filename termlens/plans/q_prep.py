@@ -178,16 +178,38 @@ def q_tiered_impute(spark, sf_dir):
     return r.data.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in FEATS])
 
 
-@query("impute_log")
+def _tier_ctes() -> str:
+    """o_ the value, e_ after entity medians, p_ after period medians."""
+    e = ", ".join(f"CAST({c} AS DOUBLE) AS o_{c}, coalesce(CAST({c} AS DOUBLE), median({c}) OVER (PARTITION BY entity_id)) AS e_{c}" for c in FEATS)
+    p = ", ".join(f"o_{c}, e_{c}, coalesce(e_{c}, median(e_{c}) OVER (PARTITION BY period_key)) AS p_{c}" for c in FEATS)
+    return f"w1 AS (SELECT entity_id, period_key, {e} FROM mart), w2 AS MATERIALIZED (SELECT entity_id, period_key, {p} FROM w1)"
+
+
+_LOG_SQL = f"WITH {_tier_ctes()} " + " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, 1 - avg(CAST(o_{c} IS NOT NULL AS INTEGER)) AS missing_rate, avg(CAST(o_{c} IS NOT NULL AS INTEGER)) AS numeric_parse_rate,
+  CASE WHEN avg(CAST(o_{c} IS NOT NULL AS INTEGER)) >= 0.5 THEN count(*) - count(o_{c}) ELSE 0 END AS imputed_total,
+  CASE WHEN avg(CAST(o_{c} IS NOT NULL AS INTEGER)) >= 0.5 THEN count(*) FILTER (WHERE o_{c} IS NULL AND e_{c} IS NOT NULL) ELSE 0 END AS from_xh_median,
+  CASE WHEN avg(CAST(o_{c} IS NOT NULL AS INTEGER)) >= 0.5 THEN count(*) FILTER (WHERE e_{c} IS NULL AND p_{c} IS NOT NULL) ELSE 0 END AS from_term_median,
+  CASE WHEN avg(CAST(o_{c} IS NOT NULL AS INTEGER)) >= 0.5 THEN count(*) FILTER (WHERE p_{c} IS NULL) ELSE 0 END AS from_global_median,
+  CAST(avg(CAST(o_{c} IS NULL AS INTEGER)) > 0.6 AS INTEGER) AS high_missing_feature,
+  CASE WHEN avg(CAST(o_{c} IS NOT NULL AS INTEGER)) >= 0.5 THEN 'ok' ELSE 'skip_non_numeric_feature' END AS note FROM w2""" for c in FEATS)
+
+
+@query("impute_log", _LOG_SQL)
 def q_impute_log(spark, sf_dir):
     return PP.tiered_impute(_mart(spark, sf_dir), "entity_id", "period_key", FEATS).log
 
 
-@query("whitelist_impute")
+@query("whitelist_impute", f"""
+WITH {_tier_ctes()}, wl AS (SELECT feature FROM ({_AUDIT}) WHERE missing_rate > 0 AND missing_rate <= 0.40 AND numeric_parse_rate >= 0.95 AND n_unique_nonnull >= 20)
+SELECT entity_id, period_key, """ + ", ".join(
+    f"CASE WHEN '{c}' IN (SELECT feature FROM wl) THEN coalesce(p_{c}, (SELECT median(p_{c}) FROM w2), 0) ELSE o_{c} END AS {c}, "
+    f"CAST(o_{c} IS NULL AS INTEGER) AS is_missing_{c}" for c in FEATS) + " FROM w2")
 def q_whitelist_impute(spark, sf_dir):
     m = _mart(spark, sf_dir)
     wl = [r["feature"] for r in QL.whitelist_rule(QL.missing_audit(m, FEATS)).select("feature").collect()]
-    return PP.tiered_impute(m, "entity_id", "period_key", FEATS, only=wl).data
+    got = PP.tiered_impute(m, "entity_id", "period_key", FEATS, only=wl).data
+    return got.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in FEATS], *[f"is_missing_{c}" for c in FEATS])
 
 
 @query("impute_impact")
