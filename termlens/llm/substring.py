@@ -116,12 +116,6 @@ def _vertices_of(flags) -> tuple[np.ndarray, np.ndarray]:
     return v >> 1, (v & 1).astype(bool)
 
 
-def _both_in(h1: np.ndarray, h2: np.ndarray, pairs: list[dict]) -> np.ndarray:
-    """Which (h1, h2) are among the pairs."""
-    known = {(x["h1"], x["h2"]) for x in pairs}
-    return np.array([x in known for x in zip(h1.tolist(), h2.tolist())], dtype=bool)
-
-
 def _open_batches(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     """One row per text and distinct window to verify: its 128-bit hash and how often it starts in the text."""
     for b in batches:
@@ -161,9 +155,8 @@ def _remove_batches(batches: Iterator[pa.RecordBatch], width: int, k: int) -> It
                 sure, todo = _marks(wh, width, k, *_vertices_of(flags[r]))
                 if again[r]:
                     p = np.flatnonzero(todo)
-                    h1 = W.window_hashes(wh, width)[p].view(np.int64)
-                    h2 = W.second_window_hashes(W.word_hashes(buf, s, e, 1), width)[p].view(np.int64)
-                    sure[p[_both_in(h1, h2, again[r])]] = True
+                    # both hashes were compared over all texts; within one text the first tells its windows apart
+                    sure[p[np.isin(W.window_hashes(wh, width)[p].view(np.int64), np.array(again[r], dtype=np.int64))]] = True
                 p = np.flatnonzero(sure)
                 np.add.at(gone, p, 1)
                 np.add.at(gone, p + width, -1)
@@ -211,7 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = KMER) -> DataFr
     open_ = written(open_, "windows")
     often = open_.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h1").alias("a"), F.col("h2").alias("b"))
     again = open_.join(often, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).groupBy("doc_id", "th").agg(
-        F.collect_set(F.struct("h1", "h2")).alias("again"))
+        F.collect_set("h1").alias("again"))
     marks = flags.join(again, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")), "left").select("d", "t", "flags", "again")
     out = rows.join(marks, same, "left").select("doc_id", "text", "flags", "again")
     return out.mapInArrow(lambda it: _remove_batches(it, width, k),
