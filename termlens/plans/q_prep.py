@@ -133,9 +133,7 @@ SELECT feature, entity_id, period_key, value, rank FROM (
   FROM {LONG} WHERE value IS NOT NULL) WHERE rank <= 10""")
 def q_outlier_samples(spark, sf_dir):
     m = _mart(spark, sf_dir)
-    long = m.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                               for c in FEATS])).alias("kv")).select(*KEYS, "kv.*")
-    long = long.where(F.col("value").isNotNull())
+    long = QL.best_cells(m, KEYS, FEATS, 10)
     top = QL.top_k_per_group(long, "feature", [F.desc("value"), F.asc("entity_id"), F.asc("period_key")], 10,
                              F.col("entity_id"))
     return top.select("feature", "entity_id", "period_key", "value", "rank")
