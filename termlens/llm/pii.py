@@ -8,8 +8,8 @@ High-recall generators propose overlapping spans: number-like tokens after singl
 `MOST_DIGITS` digits (a card's 19; phones have 15) however they are grouped, text around an `@` gives an address. Boosted trees judge each by format and context features.
 They learn from candidates whose answer is certain (equal to a base span, or to a base phone without its country code,
 which shows national formats: 1; overlapping one of another kind, or
-impossible as their kind: 0) in a bounded sample (`TRAIN_ROWS`), and one threshold per kind is calibrated on other
-documents to reach `PRECISION`. A candidate that only fails the base format (a national phone, a non-ASCII address) has
+impossible as their kind: 0) in all documents of one half, and one threshold per kind is calibrated on all documents of the
+other half to reach `PRECISION`. A candidate that only fails the base format (a national phone, a non-ASCII address) has
 no label and is scored; no feature tells base format from other formats (a leading '+', ASCII), as every certain phone
 has the '+'. Selected candidates that touch no base span are added where they overlap those in base format first, then
 the best; base spans always stay.
@@ -48,7 +48,6 @@ NO_PHONE = (r"^(?:(?:1[0-9]|20)[0-9]{2}([-/.])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12
             r"|(?:0?[1-9]|[12][0-9]|3[01])([-/.])(?:0?[1-9]|[12][0-9]|3[01])\2(?:1[0-9]|20)[0-9]{2}|[0-9]+\.[0-9]+)$")
 MOST_DIGITS = 19
 BLOCK = 512
-TRAIN_ROWS = 20_000
 PRECISION = 0.995
 BINS = 200
 FEATURES = ["f_kind", "f_len", "f_digits", "f_groups", "f_longest", "f_spaces", "f_dots", "f_dashes", "f_parens",
@@ -274,21 +273,15 @@ def candidates(rows: DataFrame) -> DataFrame:
     return r.select("doc_id", "_th", "kind", "start", "end", "touch", "ok", "label", *FEATURES).distinct()
 
 
-def selected(cand: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> DataFrame:
+def selected(cand: DataFrame, precision: float = PRECISION) -> DataFrame:
     """Candidates that pass the trees and their kind's threshold and touch no base span. `cand` is a written stage."""
     certain = cand.where("label IS NOT NULL")
-    n = {r["label"]: r["count"] for r in certain.groupBy("label").count().collect()}
     none = cand.where("false").withColumn("score", F.lit(0.0))
-    if len(n) < 2:
-        return none
-    # even documents train, odd ones calibrate; both classes are cut to the bound by a hash of the span
+    # even documents train, odd ones calibrate
     half = F.pmod(F.xxhash64("doc_id", "_th"), F.lit(2))
-    share = F.pmod(F.xxhash64("doc_id", "_th", "kind", "start", "end"), F.lit(1_000_000)) / 1e6
-    keep = F.when(F.col("label") == 1.0, share < train_rows / n[1.0]).otherwise(share < train_rows / n[0.0])
     pick = VectorAssembler(inputCols=FEATURES, outputCol="v")
-    sample = pick.transform(certain.where(keep).withColumn("_half", half)).select("kind", "label", "_half", "v")
-    sample = written(sample.repartition(4), "pii-sample")
-    fit = sample.where("_half = 0").select("label", "v")
+    known = pick.transform(certain.withColumn("_half", half)).select("kind", "label", "_half", "v")
+    fit = known.where("_half = 0").select("label", "v")
     if fit.select("label").distinct().count() < 2:
         return none
     model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=8, maxDepth=4, maxBins=32, stepSize=0.3, seed=7,
@@ -297,7 +290,7 @@ def selected(cand: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = P
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("score", vector_to_array("probability")[1])
 
-    bins = scored(sample.where("_half = 1")).groupBy("kind", F.floor(F.col("score") * BINS).alias("bin")).agg(
+    bins = scored(known.where("_half = 1")).groupBy("kind", F.floor(F.col("score") * BINS).alias("bin")).agg(
         F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).collect()      # at most kinds x (BINS + 1) rows
     cut = F.lit(None).cast("double")
     for k in KINDS:
