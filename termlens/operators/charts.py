@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termlens import config as C
 from termlens.functions.nulls import canonical
+from termlens.session import stored
 
 N_BINS = 30
 
@@ -65,15 +66,17 @@ def density_grid(df: DataFrame, x: str, y: str, label: str, grid: int = 240, min
                  levels=(0.92, 0.82)) -> DataFrame:
     """V8 (re-aimed kernel density): per cluster with >= `min_points` points, counts on a grid x grid lattice over
     the global range, plus the cell-count quantile levels (core .92 / cover .82) of that cluster."""
-    df = df.select(label, canonical(F.col(x)).alias(x), canonical(F.col(y)).alias(y))   # bins compared at 1e-9
+    # bins compared at 1e-9; the points are written once: two aggregates read them, and the generated code of scores, labels
+    # and an aggregate together is too long for the JVM's compiler
+    df = stored(df.select(label, canonical(F.col(x)).alias(x), canonical(F.col(y)).alias(y)), "points")
     r = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
     wx = (r["x1"] - r["x0"]) or 1.0
     wy = (r["y1"] - r["y0"]) or 1.0
     bx = F.least(F.floor((F.col(x) - r["x0"]) / wx * grid), F.lit(grid - 1)).cast("int")
     by = F.least(F.floor((F.col(y) - r["y0"]) / wy * grid), F.lit(grid - 1)).cast("int")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
-    cells = df.join(sizes, label).groupBy(label, bx.alias("bin_x"), by.alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))
-    lv = cells.groupBy(label).agg(F.percentile("n", F.array(*[F.lit(q) for q in levels])).alias("_q"))
+    cells = df.groupBy(label, bx.alias("bin_x"), by.alias("bin_y")).agg(F.count(F.lit(1)).alias("n"))
+    lv = cells.groupBy(label).agg(F.sum("n").alias("_n"), F.percentile("n", F.array(*[F.lit(q) for q in levels])).alias("_q")) \
+        .where(F.col("_n") >= min_points)
     return cells.join(lv, label).select(label, "bin_x", "bin_y", "n", F.col("_q")[0].alias("level_core"),
                                         F.col("_q")[1].alias("level_cover"))
 
