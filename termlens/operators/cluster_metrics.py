@@ -7,6 +7,7 @@ as literal arrays, so no pairwise distances and no join of points with points ar
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from termlens.config import DIR_HINTS
 from termlens.functions.nulls import canonical
 from termlens.operators.quantiles import exact_quantiles
+from termlens.session import stored
 
 STD_EPS = 1e-12
 TOP_N = 10
+FEATURES_AT_ONCE = 8
 MIXED_NAME = "混合型/需进一步解释"
 
 
@@ -177,23 +180,29 @@ def direction_hint(feature: Column, z: Column, hints: dict[str, tuple[str, str]]
     return F.when(z > 0, F.element_at(hi, f)).otherwise(F.element_at(lo, f))
 
 
+def _long_means(x: DataFrame, features: list[str], at: int) -> DataFrame:
+    """Cluster mean, parent mean and parent sd of `FEATURES_AT_ONCE` features from number `at` on, one row a cluster and feature."""
+    part = list(enumerate(features))[at:at + FEATURES_AT_ONCE]
+    cm = x.groupBy("_p", "cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), *[F.avg(c).alias(c) for _, c in part])
+    om = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_tot"), *[F.avg(c).alias(f"m_{c}") for _, c in part],
+                             *[F.stddev_pop(c).alias(f"s_{c}") for _, c in part])
+    j = cm.join(om, "_p", "inner")        # om has one row per parent (<= number of modes)
+    r = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(c).alias("mean_cluster"),
+                                     F.col(f"m_{c}").alias("mean_overall"), F.col(f"s_{c}").alias("sd")) for i, c in part])).alias("r")
+    return j.select("_p", "cluster_id", "cluster_size", (F.col("cluster_size") / F.col("_tot")).alias("cluster_pct"), r) \
+        .select("_p", "cluster_id", "cluster_size", "cluster_pct", "r.*")
+
+
 def cluster_top_features(df: DataFrame, label: str, features: list[str], parent: str | None = None,
                          top_n: int = TOP_N, hints: dict[str, tuple[str, str]] = DIR_HINTS) -> DataFrame:
     """E1 (parent=None): z of each cluster mean against the overall mean and population sd; E2 (parent=mode):
     against the parent's mean and sd. +-inf / null z -> 0; top `top_n` by |z| per cluster (feature order breaks
-    ties); direction and hint (P24)."""
-    x = df.select((F.col(parent) if parent else F.lit(0)).alias("_p"), F.col(label).alias("cluster_id"),
-                  *[F.col(c).cast("double").alias(c) for c in features])
+    ties); direction and hint (P24). Labels and features are written once and aggregated some features a scan: generated code
+    for all at once is too long to be compiled by the JVM."""
+    x = stored(df.select((F.col(parent) if parent else F.lit(0)).alias("_p"), F.col(label).alias("cluster_id"),
+                         *[F.col(c).cast("double").alias(c) for c in features]), "features")
+    long = reduce(DataFrame.unionByName, [_long_means(x, features, at) for at in range(0, len(features), FEATURES_AT_ONCE)])
     pk = ["_p"]          # unparented: one constant parent, so the overall row joins on an equality key
-    cm = x.groupBy(*pk, "cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), *[F.avg(c).alias(c) for c in features])
-    om = x.groupBy(*pk).agg(F.count(F.lit(1)).alias("_tot"), *[F.avg(c).alias(f"m_{c}") for c in features],
-                            *[F.stddev_pop(c).alias(f"s_{c}") for c in features])
-    j = cm.join(om, pk, "inner")          # om has one row per parent (<= number of modes)
-    long = j.select(*pk, "cluster_id", "cluster_size", (F.col("cluster_size") / F.col("_tot")).alias("cluster_pct"),
-                    F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"), F.col(c).alias("mean_cluster"),
-                                                  F.col(f"m_{c}").alias("mean_overall"), F.col(f"s_{c}").alias("sd"))
-                                         for i, c in enumerate(features)])).alias("r")).select(*pk, "cluster_id", "cluster_size",
-                                                                                              "cluster_pct", "r.*")
     sd_safe = F.when(F.col("sd").isNull() | F.isnan("sd") | (F.col("sd") <= STD_EPS), F.lit(1.0)).otherwise(F.col("sd"))
     z = (F.col("mean_cluster") - F.col("mean_overall")) / sd_safe
     z = F.when(z.isNull() | F.isnan(z), F.lit(0.0)).otherwise(z)
