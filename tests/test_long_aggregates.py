@@ -9,6 +9,7 @@ import pytest
 
 from termlens.operators import charts as CH
 from termlens.operators import cluster_metrics as CM
+from termlens.operators import mixture as MX
 
 
 def test_density_grid_reads_written_points(spark):
@@ -38,3 +39,20 @@ def test_top_features_are_aggregated_in_parts(spark, parent):
             r = got[s, rank]
             assert (r["feature"], r["cluster_size"]) == (cols[f], 50) and r["cluster_pct"] == 50 / len(whole)
             assert r["z"] == pytest.approx(z[f]) and (not parent or r["mode"] == s // 3)
+
+
+def test_a_model_pass_starts_no_tasks_for_empty_partitions(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 3)) for i in range(200)], "a double, b double").coalesce(2)
+    table = MX.matrix(df, ["a", "b"])
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.sparkContext.setJobGroup("one-pass", "one pass")
+    try:
+        got = MX.summed(table, lambda blocks, _: {0: sum(np.array([len(x), *x.sum(axis=0)]) for _, _, x in blocks)}, None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0].tolist() == [200.0, float(sum(i % 7 for i in range(200))), float(sum(i % 3 for i in range(200)))]
+    track = spark.sparkContext.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup("one-pass")]
+    tasks = [track.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if track.getStageInfo(s)]
+    assert tasks and max(tasks) < 64
