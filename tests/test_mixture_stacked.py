@@ -53,3 +53,44 @@ def test_lloyd_sums_of_a_whole_grid_take_the_first_of_equal_centres(monkeypatch)
     assert sorted(got) == sorted(want)
     for unit in want:
         np.testing.assert_allclose(got[unit], want[unit], rtol=1e-9, atol=1e-9)
+
+
+def _peak(fn) -> int:
+    import tracemalloc
+    tracemalloc.start()
+    fn()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_sums_of_many_models_are_taken_tile_by_tile():
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(MX.ROWS_AT_ONCE, 4))
+    g = np.zeros(len(x), dtype=np.int64)
+    centers = [(i, 0, rnd.normal(size=(8, 4))) for i in range(600)]
+    assert _peak(lambda: MX._lloyd_stats(_blocks(x, g, len(x)), centers)) < 12e6
+    assert _peak(lambda: MX._em_stats(_blocks(x, g, len(x)), _models(rnd, 4, [8] * 400, 1))) < 12e6
+
+
+def test_factors_in_pieces_give_the_log_densities():
+    rnd = np.random.default_rng(4)
+    for d in (MX.FORM_FEATURES + 1, MX.FACTOR_COLUMNS, 39):
+        x, models = rnd.normal(size=(700, d)), [m for _, _, m in _models(rnd, d, [3] * 7, 1)]
+        got = MX._log_joints(MX._quadratic(x, MX._Room()), *MX._factor_pieces(models), MX._Room())
+        np.testing.assert_allclose(got, np.vstack([MX.log_joint(x, m).T for m in models]), rtol=1e-9, atol=1e-9)
+
+
+def test_gaps_beyond_single_precision_are_compared_in_double():
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([rnd.normal(size=(2000, 3)), rnd.normal(size=(50, 3)) * 1e-20, rnd.normal(size=(50, 3)) * 1e17])
+    a = rnd.normal(size=(2, 3))
+    models = [(0, 0, np.vstack([a, a + 1e-9, a - 1e-9])), (1, 0, np.vstack([a[0], a[0], a[1]])), (2, 0, np.vstack([a * 1e17, a, a * 1e-20]))]
+    got = MX._lloyd_stats(_blocks(x, np.zeros(len(x), dtype=np.int64), 2050), models)
+    for unit, _, c in models:
+        far = -2 * x @ c.T + (c * c).sum(axis=1)
+        near = np.where(far - far.min(axis=1)[:, None] <= 1e-13 * np.abs(far).max(axis=1)[:, None], np.arange(len(c)), len(c)).min(axis=1)
+        label = far.argmin(axis=1)
+        clear = np.bincount(label[label == near], minlength=len(c))
+        n = got[unit][1:1 + len(c)]
+        assert n.sum() == len(x) and (n >= clear).all() and np.abs(n - clear).sum() <= (label != near).sum() + 2
