@@ -94,3 +94,32 @@ def test_gaps_beyond_single_precision_are_compared_in_double():
         clear = np.bincount(label[label == near], minlength=len(c))
         n = got[unit][1:1 + len(c)]
         assert n.sum() == len(x) and (n >= clear).all() and np.abs(n - clear).sum() <= (label != near).sum() + 2
+
+
+def test_scenarios_share_their_passes_and_keep_their_results(spark, monkeypatch):
+    from termlens.operators import cluster as CL
+    from termlens.operators import model_eval as EV
+    rnd = np.random.default_rng(6)
+    rows = [(f"k{i}", *rnd.normal(5.0 * (i % 2), 1.0, 2).tolist(), *rnd.normal(9.0 * (i // 2 % 2), 0.5, 2).tolist()) for i in range(240)]
+    one = spark.createDataFrame(rows, "id string, a double, b double, r double, s double")
+    two = one.selectExpr("id", "a * 2 + b AS a", "b", "r + s AS r", "s")
+    fit = {"k2s": (2,), "starts1": 2, "starts2": 2, "min_rows": 50}
+    calls = []
+    fits = MX.mixture_fits
+    monkeypatch.setattr(MX, "mixture_fits", lambda table, specs, *a, **k: calls.append(len(specs)) or fits(table, specs, *a, **k))
+    got = CL.paired_experiment({"x": one, "y": two}, ["id"], ["a", "b"], ["r", "s"], 2, (1, 2), 1, **fit)
+    assert len(calls) == 2                              # scores, then layer 2; before: three calls a scenario
+    for tag, df in (("x", one), ("y", two)):
+        alone = CL.two_layer_cluster(df, ["id"], ["a", "b"], ["r", "s"], 2, **fit)
+        want, mine = ({r["id"]: r.asDict() for r in t.data.collect()} for t in (alone, got.tables[tag]))
+        assert want.keys() == mine.keys()
+        for k, r in want.items():
+            assert r["mode_id"] == mine[k]["mode_id"]
+            np.testing.assert_allclose([r["mode_pmax"], r["mode_entropy"]], [mine[k]["mode_pmax"], mine[k]["mode_entropy"]], rtol=1e-6, atol=1e-9)
+        ids = [sorted({t[k]["subtype_id"] for k in t}) for t in (want, mine)]
+        cells = np.array([[sum(want[k]["subtype_id"] == i and mine[k]["subtype_id"] == j for k in want) for j in ids[1]] for i in ids[0]], dtype=float)
+        assert EV.adjusted_rand(cells) == 1 and len(ids[0]) == 4
+        soft = CL.k_stability_eval(df, ["a", "b"], (2,), (1, 2), 1)[1].first()
+        found = {r["metric"]: r["value"] for r in got.metrics.where(f"scenario = '{tag}'").collect()}
+        for c in ("ari_pair_mean", "nmi_pair_mean", "bic_mean"):
+            np.testing.assert_allclose(found[f"k2_{c}"], soft[c], rtol=1e-6)
